@@ -38,13 +38,16 @@ TABLES = {
 class Frame:
     sql: str
     arrays: dict[str, tuple[str, ...]] | None = None  # array column -> nullable source columns
+    spark_sql: str | None = None  # only where the engines spell a clause differently
 
 
 FRAMES: dict[str, Frame] = {}
 
 
-def frame(name: str, sql: str, arrays: dict[str, tuple[str, ...]] | None = None) -> None:
-    FRAMES[name] = Frame(sql, arrays)
+def frame(
+    name: str, sql: str, arrays: dict[str, tuple[str, ...]] | None = None, spark_sql: str | None = None
+) -> None:
+    FRAMES[name] = Frame(sql, arrays, spark_sql)
 
 
 class Lake:
@@ -63,8 +66,9 @@ class Lake:
             df = self.table(name)
         elif name in FRAMES:
             spec = FRAMES[name]
-            inputs = {n: getattr(self, n) for n in set(re.findall(r"\{(\w+)\}", spec.sql))}
-            df = self.spark.sql(spec.sql, **inputs)
+            text = spec.spark_sql or spec.sql
+            inputs = {n: getattr(self, n) for n in set(re.findall(r"\{([a-z_]\w*)\}", text))}
+            df = self.spark.sql(text, **inputs)
             for column, parts in (spec.arrays or {}).items():
                 df = df.withColumn(column, F.array_compact(F.array(*parts))).drop(*parts)
         else:
@@ -147,3 +151,30 @@ frame(
     FROM {events}
     """,
 )
+
+frame(
+    "hrefs",
+    """SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM {pages}""",
+    spark_sql="""SELECT page_id, url, explode(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM {pages}""",
+)
+frame(
+    "net",
+    """
+    SELECT l_orderkey AS run_id, l_orderkey % 5 AS site, l_linenumber AS seq, l_suppkey AS supp,
+           concat('https://',
+             CASE l_suppkey % 8 WHEN 0 THEN 'securepubads.g.doubleclick.net' WHEN 1 THEN 'Bidder.example.net'
+               WHEN 2 THEN 'consent.example.org:8443' WHEN 3 THEN 'www.google-analytics.com' WHEN 4 THEN 'user@player.example.com.'
+               WHEN 5 THEN 'cdn.example.com' WHEN 6 THEN 'shop.example.com' ELSE 'site0.example.com' END,
+             CASE l_linenumber % 7 WHEN 1 THEN '/gampad/ads' WHEN 2 THEN '/openrtb2/auction'
+               WHEN 3 THEN concat('/vast/', CAST(l_partkey AS STRING))
+               WHEN 4 THEN concat('/clips/clip-', CAST(l_partkey % 10 AS STRING), '.mp4')
+               WHEN 5 THEN concat('/assets/', md5(CAST(l_partkey % 20 AS STRING)), '/app.js')
+               ELSE concat('/p/', CAST(l_partkey AS STRING), '/v12345x//Item 7') END,
+             '?q=', CAST(l_orderkey AS STRING), '#f') AS url,
+           CASE l_linenumber % 4 WHEN 0 THEN 'media' WHEN 1 THEN 'Script' WHEN 2 THEN 'xhr' ELSE '' END AS resource_type,
+           CASE WHEN l_quantity < 5 THEN 500 WHEN l_quantity < 10 THEN 404 WHEN l_quantity < 49 THEN 200 END AS status,
+           CASE WHEN l_returnflag = 'A' AND l_quantity < 3 THEN 'net::ERR' END AS error_text,
+           CASE WHEN l_suppkey % 9 <> 0 THEN l_linenumber * 100 END AS at_ms
+    FROM {lineitem}
+    """,
+)

@@ -18,7 +18,7 @@ from tidemark.session import apply_job_conf
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-_PLACEHOLDER = re.compile(r"\{(\w+)\}")
+_PLACEHOLDER = re.compile(r"\{([a-z_]\w*)\}")
 
 
 def _close(text: str, start: int) -> int:
