@@ -178,3 +178,106 @@ frame(
     FROM {lineitem}
     """,
 )
+frame(
+    "snapshots",
+    """
+    SELECT o_orderkey AS snapshot_id, o_custkey AS url_id, o_orderdate AS at, o_orderkey % 11 = 0 AS truncated,
+           o_orderpriority AS dom_hash, o_orderstatus AS run_status, o_orderkey % 19 <> 0 AS has_state,
+           CASE WHEN o_orderkey % 23 <> 0 THEN 'd1' END AS dom_version, 's1' AS scripts_version,
+           CASE WHEN o_orderdate < TIMESTAMP '1998-01-01 00:00:00' THEN 'n1' ELSE 'n2' END AS network_version,
+           CASE WHEN o_orderkey % 29 <> 0 THEN 'j1' END AS javascript_errors_version
+    FROM {orders}
+    """,
+)
+frame("members", "SELECT DISTINCT l_orderkey AS snapshot_id, l_partkey % 20 AS member FROM {lineitem}")
+frame("netmembers", "SELECT DISTINCT l_orderkey AS snapshot_id, l_suppkey % 20 AS member FROM {lineitem}")
+frame(
+    "errors",
+    "SELECT DISTINCT l_orderkey AS snapshot_id, CAST(l_linenumber AS BIGINT) AS member FROM {lineitem} WHERE l_returnflag = 'R'",
+)
+frame(
+    "netcounts",
+    """
+    SELECT l_orderkey AS snapshot_id, l_suppkey % 20 AS member,
+           CAST(sum(CASE WHEN l_returnflag = 'A' AND l_quantity < 3 THEN 1 ELSE 0 END) AS BIGINT) AS failures,
+           CAST(sum(CASE WHEN l_quantity >= 5 AND l_quantity < 10 THEN 1 ELSE 0 END) AS BIGINT) AS status_4xx,
+           CAST(sum(CASE WHEN l_quantity < 5 THEN 1 ELSE 0 END) AS BIGINT) AS status_5xx
+    FROM {lineitem} GROUP BY l_orderkey, l_suppkey % 20
+    """,
+)
+frame(
+    "runstates",
+    """
+    SELECT event_id AS run_id, event_type, ts AS completed_at,
+           CASE event_type WHEN 'error' THEN 'SITE_ERROR' WHEN 'signup' THEN 'PARTIAL' ELSE 'COMPLETE' END AS status,
+           CASE WHEN event_id % 13 <> 0 THEN 's1' END AS scripts_version,
+           CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 'n1' ELSE 'n2' END AS network_version,
+           CASE WHEN event_id % 17 <> 0 THEN 'j1' END AS javascript_errors_version, 'x1' AS seo_version,
+           CASE WHEN event_id % 3 = 0 THEN ' NoIndex, follow' WHEN event_id % 3 = 1 THEN 'follow' END AS meta_robots,
+           CASE WHEN event_id % 4 <> 0 THEN concat('https://site.example.com/', CAST(event_id % 4 AS STRING)) END AS canonical
+    FROM {events}
+    """,
+)
+frame(
+    "wruns",
+    """
+    SELECT event_id AS run_id, user_id % 5 AS site,
+           date_trunc('hour', ts) - INTERVAL '1' HOUR * CAST(hour(ts) % 6 AS INT) AS scheduled_for,
+           CASE WHEN day(ts) = 20 AND event_id % 2 = 0 THEN 'PENDING' WHEN day(ts) = 21 THEN 'PENDING'
+                WHEN event_id % 97 = 0 THEN 'RUNNING' WHEN day(ts) = 9 OR event_id % 5 = 0 THEN 'BROWSER_ERROR' ELSE 'COMPLETE' END AS status
+    FROM {events}
+    """,
+)
+frame(
+    "wwindows",
+    """
+    SELECT DISTINCT site, scheduled_for FROM {wruns}
+    UNION SELECT DISTINCT site, scheduled_for + INTERVAL '60' DAY FROM {wruns}
+    """,
+)
+frame(
+    "slots",
+    """
+    SELECT o.o_orderkey AS snapshot_id, CAST(c.c_nationkey AS BIGINT) AS template_id, o.o_orderkey % 2 AS scenario_id, o.o_custkey AS url_id,
+           o.o_orderdate AS at, date_trunc('month', o.o_orderdate) AS window_id, CAST(l.l_linenumber AS BIGINT) AS slot,
+           min(CASE WHEN l.l_returnflag = 'R' THEN 0 ELSE 1 END) = 1 AS present
+    FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey
+    GROUP BY 1, 2, 3, 4, 5, 6, 7
+    """,
+)
+frame(
+    "actions",
+    """
+    SELECT o_custkey AS condition_key, o_orderdate AS at, o_orderkey AS run_id,
+           CASE o_orderpriority WHEN '1-URGENT' THEN 'UPSERT' WHEN '2-HIGH' THEN 'UPSERT' WHEN '5-LOW' THEN 'RESOLVE' ELSE 'SUPPORT' END AS action,
+           CASE o_orderstatus WHEN 'F' THEN 'LOW' WHEN 'O' THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+           o_orderkey % 5 AS affected_count, o_orderkey % 5 + o_orderkey % 3 AS valid_count
+    FROM {orders}
+    """,
+)
+frame(
+    "adsactions",
+    """
+    SELECT o_custkey % 50 AS site, o_orderdate AS at, o_orderkey AS run_id,
+           CASE o_orderkey % 3 WHEN 0 THEN 'ADS_TXT_MISSING' WHEN 1 THEN 'ADS_TXT_EMPTY_200' ELSE 'ADS_TXT_INVALID' END AS code,
+           CASE o_orderpriority WHEN '1-URGENT' THEN 'UPSERT' WHEN '5-LOW' THEN 'RESOLVE' ELSE 'SUPPORT' END AS action,
+           'HIGH' AS severity, CAST(1 AS BIGINT) AS affected_count, CAST(1 AS BIGINT) AS valid_count
+    FROM {orders}
+    """,
+)
+frame(
+    "observations",
+    """
+    SELECT user_id % 5 AS site, date_trunc('hour', ts) AS at, event_id AS run_id,
+           CASE event_type WHEN 'error' THEN 'DEGRADED' WHEN 'click' THEN 'CHALLENGE' ELSE 'OK' END AS state
+    FROM {events} WHERE event_type IN ('error', 'click', 'signup')
+    """,
+)
+frame(
+    "refs",
+    """
+    SELECT l_orderkey AS event_id, l_linenumber * 1000000 + l_partkey AS ref_id, l_suppkey * 137 + l_linenumber AS source_id,
+           CASE l_returnflag WHEN 'A' THEN 'TRIGGER_AFTER' WHEN 'R' THEN 'BEFORE' ELSE 'SUPPORTING' END AS relation
+    FROM {lineitem}
+    """,
+)

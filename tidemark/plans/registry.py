@@ -62,6 +62,7 @@ def compose(body: str) -> str:
             text = "WITH " + ",\n".join(ctes) + ",\n" + text[5:]
         else:
             text = "WITH " + ",\n".join(ctes) + "\n" + text
+    text = re.sub(r"(?<!['\w])at(?!['\w])", '"at"', text)  # a reserved word only in the second engine
     text = _shorthand(text, "TS", lambda x: f"strftime({x}, '%Y-%m-%d %H:%M:%S')")
     text = _shorthand(text, "H60", lambda x: f"CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT)")
     return _shorthand(text, "B", lambda x: f"CAST({x} AS BIGINT)")

@@ -64,9 +64,9 @@ def path_family(t):
     return t.net.groupBy(T.path_family(U.path(C("url"))).alias("family")).agg(F.count("*").alias("uses"))
 
 
-@query("mask_volatile", f"SELECT B(event_id) AS event_id, {sql_mask('msg')} AS masked FROM (SELECT event_id, concat(props, '  ', md5(props), ' at ', event_id) AS msg FROM events)")
+@query("mask_volatile", f"SELECT B(event_id) AS event_id, {sql_mask('msg')} AS masked FROM (SELECT event_id, concat(props, '  ', md5(props), ' near ', event_id) AS msg FROM events)")
 def mask_volatile(t):
-    msg = F.concat(C("props"), F.lit("  "), F.md5("props"), F.lit(" at "), C("event_id").cast("string"))
+    msg = F.concat(C("props"), F.lit("  "), F.md5("props"), F.lit(" near "), C("event_id").cast("string"))
     return t.events.select("event_id", T.mask_volatile(msg).alias("masked"))
 
 
@@ -245,15 +245,12 @@ def bounded_number(t):
     return t.numtext.select("event_id", N.bounded_number(C("raw"), 86_400_000.0).alias("number"), N.bounded_int(C("raw"), 86_400_000.0).alias("whole"))
 
 
-@query("google_date", """SELECT B(o_orderkey) AS o_orderkey, CASE WHEN o_orderkey % 30 < 12 AND o_orderkey % 31 < 28 THEN
-    strftime(make_date(2026, CAST(o_orderkey % 30 + 1 AS INT), CAST(o_orderkey % 31 + 1 AS INT)), '%Y-%m-%d') END AS day,
-    CASE WHEN o_orderkey % 4 <> 0 THEN TS(o_orderdate - INTERVAL '2' HOUR) END AS ran_at FROM orders WHERE o_orderkey % 31 < 28""")
+@query("google_date", """SELECT B(o_orderkey) AS o_orderkey, strftime(TRY_CAST(printf('2026-%02d-%02d', o_orderkey % 14, o_orderkey % 33) AS DATE), '%Y-%m-%d') AS day,
+    CASE WHEN o_orderkey % 4 <> 0 THEN TS(o_orderdate - INTERVAL '2' HOUR) END AS ran_at FROM orders""")
 def google_date(t):
-    month, day = (C("o_orderkey") % 30 + 1), (C("o_orderkey") % 31 + 1)
     stamp = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(C("o_orderkey") % 4 == 0, "").otherwise("+02:00"))
-    return t.orders.where(C("o_orderkey") % 31 < 28).select(
-        "o_orderkey", Z.google_date(F.lit(2026), month, day).cast("string").alias("day"), ts_text(Z.run_time(stamp)).alias("ran_at")
-    )
+    day = Z.google_date(F.lit(2026), C("o_orderkey") % 14, C("o_orderkey") % 33)
+    return t.orders.select("o_orderkey", day.cast("string").alias("day"), ts_text(Z.run_time(stamp)).alias("ran_at"))
 
 
 @query("mem_to_mib", """SELECT B(l_orderkey) AS l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN round(l_quantity / 1024, 6) WHEN 1 THEN l_quantity WHEN 2 THEN l_quantity * 1024 END AS mib FROM lineitem""")
