@@ -1,4 +1,4 @@
 """Import every plan module so that its queries register."""
 
-from tidemark.plans import event_queries, metric_queries, scalar_queries  # noqa: F401
+from tidemark.plans import event_queries, evidence_queries, metric_queries, scalar_queries  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL  # noqa: F401

@@ -281,3 +281,80 @@ frame(
     FROM {lineitem}
     """,
 )
+frame(
+    "auction_events",
+    """
+    SELECT user_id AS run_id, concat(CAST(user_id AS STRING), ':', CAST(CAST(ts AS DATE) AS STRING)) AS auction_key, event_id AS seq,
+           CASE WHEN event_id % 11 = 0 THEN 'auctionEnd' WHEN event_id % 13 = 0 THEN 'noBid' WHEN event_id % 59 = 0 THEN 'auctionTimeout'
+                WHEN event_type = 'signup' THEN 'auctionInit' WHEN event_type = 'click' THEN 'bidRequested' WHEN event_type = 'view' THEN 'bidResponse'
+                WHEN event_type = 'error' THEN 'bidTimeout' ELSE 'bidWon' END AS event_type,
+           CASE WHEN event_id % 17 <> 0 THEN CAST(hour(ts) * 60 + minute(ts) AS BIGINT) END AS elapsed_ms,
+           event_id % 4 * 500 AS timeout_ms, event_id % 3 AS ad_units, value AS response_ms,
+           CASE WHEN event_id % 19 = 0 THEN 'bad bidder' ELSE concat('bidder-', CAST(event_id % 4 AS STRING)) END AS bidder
+    FROM {events}
+    """,
+)
+frame(
+    "run_auctions",
+    """
+    SELECT o_orderkey AS run_id, concat('a', CAST(o_custkey AS STRING)) AS auction_key,
+           CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 8 * 100 END AS ended_ms, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 4 * 100 END AS started_ms
+    FROM {orders}
+    UNION ALL SELECT o_orderkey, 'b', o_custkey % 6 * 100, CAST(0 AS BIGINT) FROM {orders} WHERE o_orderstatus = 'F'
+    """,
+)
+frame(
+    "consents",
+    """
+    SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 7 * 100 END AS boundary_ms,
+           CASE WHEN o_orderstatus = 'F' THEN 'REJECT' ELSE 'ACCEPT' END AS consent_path
+    FROM {orders}
+    """,
+)
+frame(
+    "players",
+    """
+    SELECT o_orderkey AS run_id, 'p1' AS player FROM {orders} WHERE o_orderkey % 3 > 0
+    UNION ALL SELECT o_orderkey, 'p2' FROM {orders} WHERE o_orderkey % 3 = 2
+    """,
+)
+frame(
+    "shifts",
+    """
+    SELECT user_id, CAST(ts AS DATE) AS day, CAST(hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)) AS BIGINT) AS t,
+           CASE WHEN event_id % 6 = 0 THEN 0.0 ELSE value / 1000 END AS v, event_id % 50 AS interaction_id, value AS duration_ms
+    FROM {events}
+    """,
+)
+frame(
+    "slot_entries",
+    """
+    SELECT l_orderkey AS run_id, l_linenumber * 1000000 + l_partkey * 100 + l_suppkey % 100 AS pos,
+           CASE WHEN l_returnflag <> 'R' THEN concat('/net/', CAST(l_partkey % 6 AS STRING)) END AS ad_unit_path,
+           CASE WHEN l_returnflag = 'R' AND l_suppkey % 2 = 0 THEN concat('slot-', CAST(l_suppkey % 6 AS STRING)) END AS element_id,
+           CASE WHEN l_quantity > 10 THEN CAST(l_quantity AS BIGINT) END AS requested_ms
+    FROM {lineitem}
+    """,
+)
+frame(
+    "validity",
+    """
+    SELECT s_nationkey AS template_id, concat('gpt|ad-unit|/net/', CAST(s_suppkey % 8 AS STRING)) AS stable_key, s_suppkey AS validity_id,
+           TIMESTAMP '1995-01-01 00:00:00' + INTERVAL '1' DAY * CAST(s_suppkey * 37 % 1500 AS INT) AS valid_from,
+           CASE WHEN s_suppkey % 3 <> 0 THEN TIMESTAMP '1996-06-01 00:00:00' + INTERVAL '1' DAY * CAST(s_suppkey * 53 % 2000 AS INT) END AS valid_to
+    FROM {supplier}
+    """,
+)
+frame(
+    "template_runs",
+    "SELECT o.o_orderkey AS run_id, c.c_nationkey AS template_id, o.o_orderdate AS at FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey",
+)
+frame(
+    "access_runs",
+    """
+    SELECT page_id AS run_id, page_id % 13 = 0 AS navigation_failed,
+           CASE WHEN page_id % 5 = 0 THEN concat(html, ' Access Denied by policy') WHEN page_id % 7 = 0 THEN concat('CAPTCHA access denied', html) ELSE html END AS body,
+           CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 503 END AS http_status
+    FROM {pages}
+    """,
+)

@@ -58,8 +58,8 @@ def compose(body: str) -> str:
     ctes = [f"{name} AS ({bind(FRAMES[name].sql)})" for name in ordered]
     text = bind(body).strip()
     if ctes:
-        if re.match(r"WITH\s", text, re.I):
-            text = "WITH " + ",\n".join(ctes) + ",\n" + text[5:]
+        if opening := re.match(r"WITH(\s+RECURSIVE)?\s", text):
+            text = opening.group(0) + ",\n".join(ctes) + ",\n" + text[opening.end() :]
         else:
             text = "WITH " + ",\n".join(ctes) + "\n" + text
     text = re.sub(r"(?<!['\w])at(?!['\w])", '"at"', text)  # a reserved word only in the second engine
