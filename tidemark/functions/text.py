@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ PATH_ID = r"(?i)^(?:\d+|[0-9a-f]{12,}|[0-9a-f-]{32,})$"
 MAX_PATH, PATH_HEAD = 500, 480
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times within one expression."""
+    return F.transform(F.array(value), use)[0]
+
+
 def mask_volatile(value: Column) -> Column:
     """Identifiers become :token, long numbers :number, white space is squeezed, 300 characters kept."""
     masked = F.regexp_replace(F.regexp_replace(value, TOKEN, ":token"), LONG_NUMBER, ":number")
@@ -39,10 +46,12 @@ def path_family(path: Column) -> Column:
         lambda p: F.when(F.substring(p, 1, 120).rlike(PATH_ID), F.lit(":id")).otherwise(mask_volatile(F.substring(p, 1, 120))),
     )
     whole = F.concat(F.lit("/"), F.array_join(parts, "/"))
-    return F.when(
-        F.length(whole) > MAX_PATH,
-        F.concat(F.substring(whole, 1, PATH_HEAD), F.lit("~"), F.substring(F.sha2(whole, 256), 1, 16)),
-    ).otherwise(whole)
+    return bind(
+        whole,
+        lambda w: F.when(
+            F.length(w) > MAX_PATH, F.concat(F.substring(w, 1, PATH_HEAD), F.lit("~"), F.substring(F.sha2(w, 256), 1, 16))
+        ).otherwise(w),
+    )
 
 
 def directives(value: Column) -> Column:

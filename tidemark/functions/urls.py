@@ -64,8 +64,7 @@ def resource_type(kind: Column) -> Column:
 
 def dependency_key(url: Column, kind: Column) -> Column:
     """host|path family|type; null without a host."""
-    name = host(url)
-    return F.when(name.isNotNull(), F.concat_ws("|", name, path_family(path(url)), resource_type(kind)))
+    return F.concat(host(url), F.lit("|"), path_family(path(url)), F.lit("|"), resource_type(kind))
 
 
 def is_vast(path_column: Column) -> Column:

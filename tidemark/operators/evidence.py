@@ -21,8 +21,8 @@ MAX_VIDEO_REQUESTS = 10_000
 
 def identified(network: DataFrame) -> DataFrame:
     """Requests with their dependency key; requests without a host drop out."""
-    return network.withColumn("stable_key", U.dependency_key(F.col("url"), F.col("resource_type"))).where(
-        F.col("stable_key").isNotNull()
+    return network.where(U.host(F.col("url")).isNotNull()).withColumn(
+        "stable_key", U.dependency_key(F.col("url"), F.col("resource_type"))
     )
 
 
@@ -79,8 +79,8 @@ def js_errors(errors: DataFrame) -> DataFrame:
 
 def script_set(scripts: DataFrame) -> DataFrame:
     """Distinct script identities per run as a sorted, hashed list cut at 2,000."""
-    unique = scripts.select("run_id", U.dependency_key(F.col("url"), F.lit("script")).alias("stable_key")).where(
-        F.col("stable_key").isNotNull()
+    unique = scripts.where(U.host(F.col("url")).isNotNull()).select(
+        "run_id", U.dependency_key(F.col("url"), F.lit("script")).alias("stable_key")
     ).distinct()
     sizes = unique.groupBy("run_id").agg(F.count("*").alias("scripts"))
     kept = bounded_identities(unique).groupBy("run_id").agg(F.array_sort(F.collect_list("stable_key")).alias("_keys"))
