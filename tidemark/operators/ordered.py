@@ -52,7 +52,14 @@ def running_count(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, out: str, bucket: Column
 ) -> DataFrame:
     """Number of flagged rows up to and including each row."""
-    df = df.withColumn("_bucket", bucket).withColumn("_flag", F.when(flag, 1).otherwise(0).cast("bigint"))
+    return running_sum(df, keys, order, F.when(flag, 1).otherwise(0).cast("bigint"), out, bucket)
+
+
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, out: str, bucket: Column
+) -> DataFrame:
+    """Sum of ``amount`` up to and including each row."""
+    df = df.withColumn("_bucket", bucket).withColumn("_flag", amount)
     scope = [*keys, "_bucket"]
     local = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     totals = df.groupBy(*scope).agg(F.sum("_flag").alias("_sum"))
@@ -121,5 +128,35 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return top_n(df, keys, order, 1).drop("_rn")
 
 
+def exact_percentiles(
+    df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], width: float
+) -> DataFrame:
+    """Interpolated percentiles per key without gathering the values of a key.
+
+    Values are counted first, then ranked by a bucketed running sum over distinct values;
+    only the two neighbours of each wanted rank are read off.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ranked = running_sum(counted, keys, [value], F.col("_n"), "_upto", F.floor(F.col(value) / width).cast("bigint"))
+    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    cells = ranked.join(totals, list(keys))
+
+    def at_rank(rank: Column) -> Column:
+        inside = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
+        return F.max(F.when(inside, F.col(value)))
+
+    aggs = []
+    for name, share in points.items():
+        place = F.lit(share) * (F.col("_total") - 1)
+        aggs += [at_rank(F.floor(place)).alias(f"_{name}_lo"), at_rank(F.ceil(place)).alias(f"_{name}_hi")]
+    found = cells.groupBy(*keys, "_total").agg(*aggs)
+    shown = []
+    for name, share in points.items():
+        place = F.lit(share) * (F.col("_total") - 1)
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        shown.append((low + (high - low) * (place - F.floor(place))).alias(name))
+    return found.select(*keys, F.col("_total").alias("values"), *shown)
+
+
 def _complex(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.typeName() in ("map", "variant")

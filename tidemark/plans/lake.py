@@ -358,3 +358,92 @@ frame(
     FROM {pages}
     """,
 )
+frame(
+    "jobs",
+    """
+    SELECT o.o_orderkey AS job_id, o.o_custkey % 40 AS tenant, o.o_orderdate AS created_at,
+           CASE WHEN o.o_orderkey % 17 <> 0 THEN o.o_orderdate + INTERVAL '1' DAY END AS started_at, l.finished_at,
+           CASE WHEN o.o_orderkey % 17 = 0 THEN 'PENDING' WHEN o.o_orderstatus = 'F' THEN 'COMPLETE' WHEN o.o_orderstatus = 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status,
+           CASE WHEN o.o_orderkey % 5 <> 0 THEN o.o_orderdate + INTERVAL '1' DAY * CAST(o.o_orderkey % 900 AS INT) END AS lock_expires_at
+    FROM {orders} o LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS finished_at FROM {lineitem} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey
+    """,
+)
+frame(
+    "retention_runs",
+    """
+    SELECT o_orderkey AS run_id, o_custkey % 40 AS tenant, o_orderdate AS started_at,
+           CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate + INTERVAL '1' HOUR * CAST(o_orderkey % 60 AS INT) END AS finished_at
+    FROM {orders} WHERE o_orderdate <= TIMESTAMP '1998-01-01 00:00:00'
+    """,
+)
+frame(
+    "artifacts",
+    """
+    SELECT o_orderkey AS artifact_id, o_orderkey % 9973 AS run_id,
+           CASE o_orderpriority WHEN '1-URGENT' THEN 'SCREENSHOT_VIEWPORT' WHEN '2-HIGH' THEN 'RAW_DOM' WHEN '3-MEDIUM' THEN 'SCREENSHOT_FULL_PAGE'
+                WHEN '5-LOW' THEN 'HAR_LOG' ELSE 'SCREENSHOT_VIEWPORT_PRECONSENT' END AS artifact_type,
+           CASE WHEN o_orderkey % 3 = 0 THEN 'DERIVED' ELSE 'RAW_MEDIUM' END AS retention_class, o_orderdate AS created_at
+    FROM {orders}
+    """,
+)
+frame(
+    "holds",
+    """
+    SELECT l_orderkey AS artifact_id, CASE WHEN l_linestatus = 'F' THEN l_shipdate END AS released_at FROM {lineitem} WHERE l_returnflag = 'R'
+    """,
+)
+frame(
+    "ledger",
+    """
+    SELECT event_id AS entry_id, user_id % 5 AS site, ts AS occurred_at,
+           date_trunc('hour', ts) - INTERVAL '1' HOUR * CAST(hour(ts) % 6 AS INT) AS window_start,
+           concat(CAST(user_id % 5 AS STRING), '|', CAST(date_trunc('hour', ts) - INTERVAL '1' HOUR * CAST(hour(ts) % 6 AS INT) AS STRING)) AS scope,
+           CASE event_type WHEN 'error' THEN 'DIAGNOSTIC_RUN' WHEN 'signup' THEN 'DRILLDOWN' ELSE 'CHECKPOINT_RUN' END AS resource_kind,
+           CAST(user_id AS STRING) AS usage_key, event_id % 3 AS amount
+    FROM {events}
+    """,
+)
+frame(
+    "requests",
+    """
+    SELECT user_id % 3 AS connection_id, user_id % 11 AS investigation_id, concat(event_type, ':', CAST(user_id AS STRING), ':', CAST(event_id % 2 AS STRING)) AS request_key,
+           event_id AS seq, CAST(CAST(ts AS DATE) AS STRING) AS day
+    FROM {events}
+    """,
+)
+frame(
+    "samples",
+    """
+    SELECT CAST(l_shipdate AS DATE) AS snapshot, concat('browser-worker-', CAST(l_suppkey % 3 AS STRING)) AS container,
+           concat(CAST(l_quantity AS STRING), 'MiB / 512MiB') AS memory, l_quantity, l_discount * 100 AS cpu_pct
+    FROM {lineitem}
+    """,
+)
+frame(
+    "incidents",
+    """
+    SELECT c_custkey AS incident_id, CAST(c_nationkey AS BIGINT) AS tenant, c_custkey % 5 AS site,
+           CASE WHEN c_custkey % 23 = 0 THEN ' ' ELSE c_name END AS title,
+           CASE c_mktsegment WHEN 'BUILDING' THEN 'VIDEO' WHEN 'MACHINERY' THEN 'SEARCH_DISCOVER' WHEN 'HOUSEHOLD' THEN 'GAM_ADSERVING' WHEN 'AUTOMOBILE' THEN 'CONSENT_CMP' ELSE 'UNKNOWN_FAMILY' END AS symptom_family,
+           CASE WHEN c_custkey % 29 <> 0 THEN concat('balance ', CAST(CAST(c_acctbal AS BIGINT) AS STRING)) ELSE '' END AS description,
+           CASE c_custkey % 6 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'INVESTIGATING' WHEN 2 THEN 'RESOLVED' WHEN 3 THEN 'CLOSED_UNRESOLVED' WHEN 4 THEN 'OPEN' ELSE 'ARCHIVED' END AS status,
+           TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(c_custkey % 700 AS INT) AS opened_at,
+           CASE WHEN c_custkey % 7 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(c_custkey * 7 % 720 AS INT) END AS onset,
+           CASE WHEN c_custkey % 5 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(c_custkey * 11 % 900 AS INT) END AS ended
+    FROM {customer}
+    """,
+)
+frame(
+    "configs",
+    """
+    SELECT o_orderkey AS snapshot_id, o_custkey % 60 AS site, CASE o_custkey % 2 WHEN 0 THEN 'ADS_TXT' ELSE 'ROBOTS_TXT' END AS config_type,
+           o_orderdate AS observed_at,
+           CASE o_orderstatus WHEN 'F' THEN 'VALID' WHEN 'P' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'EMPTY' ELSE 'INVALID' END
+                ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'VALID_WITH_WARNINGS' ELSE 'MISSING' END END AS parse_status,
+           CASE WHEN o_orderkey % 4 = 0 THEN 'VALIDATION' ELSE 'SCHEDULED' END AS fetch_kind,
+           CASE WHEN o_orderstatus = 'F' OR o_orderkey % 3 = 0 THEN o_orderpriority END AS semantic_hash,
+           o_orderpriority IN ('1-URGENT', '2-HIGH') AS broad_blocked,
+           CASE WHEN o_orderdate < TIMESTAMP '1998-01-01 00:00:00' THEN 'c1' ELSE 'c2' END AS normalizer_version
+    FROM {orders}
+    """,
+)
