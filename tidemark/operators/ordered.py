@@ -128,6 +128,59 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return top_n(df, keys, order, 1).drop("_rn")
 
 
+def asof_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, left_id: str, right_at: str, right_id: str,
+    payload: Sequence[str], out: str, forward: bool = False, strict: bool = False, width_s: int = DAY,
+) -> DataFrame:
+    """Nearest right row per left row: at or before ``left_at`` (at or after when ``forward``).
+
+    Both sides merge into one timeline per key and each left row reads what is carried to it, so
+    the cost is that of a sort, never of the pairs of a key.  Ties take the largest right id
+    backward and the smallest forward.  A null ``left_at`` leaves that side unbounded.
+    """
+    sign = -1 if forward else 1
+    edge = F.lit(2**62)
+    seen = F.struct(*[F.col(c) for c in payload])
+    kind_of_right = 1 if strict else 0
+    rows = right.where(F.col(right_at).isNotNull()).select(
+        *keys, (F.unix_micros(right_at) * sign).alias("_t"), F.lit(kind_of_right).alias("_kind"), (F.col(right_id) * sign).alias("_id"), seen.alias("_seen"),
+    )
+    asks = left.select(
+        *keys, F.coalesce(F.unix_micros(left_at) * sign, edge).alias("_t"), F.lit(1 - kind_of_right).alias("_kind"), F.col(left_id).alias("_id"),
+        F.lit(None).cast(rows.schema["_seen"].dataType).alias("_seen"),
+    )
+    line = carry_previous(
+        rows.unionByName(asks), keys, ["_t", "_kind", "_id"], "_seen", out, F.floor(F.col("_t") / (width_s * 1_000_000))
+    )
+    found = line.where(F.col("_kind") == 1 - kind_of_right).select(F.col("_id").alias(left_id), out)
+    return left.join(found, left_id, "left")
+
+
+def window_head(
+    spans: DataFrame, facts: DataFrame, keys: Sequence[str], span_id: str, start: str, end: str, at: str, fact_id: str, n: int,
+    bucket_s: int = DAY,
+) -> DataFrame:
+    """First ``n`` facts of each span's inclusive window, by (at, id).
+
+    Facts are numbered per key once.  A span looks up the number before its start and then meets
+    only the two blocks of ``n`` numbers its head can lie in, so a hot key never fans out.
+    """
+    numbered = ordinal(facts, keys, [at, fact_id], "_no", time_bucket(at, bucket_s))
+    starts = asof_join(
+        spans.select(span_id, *keys, start, end), numbered, keys, start, span_id, at, fact_id, ["_no"], "_before",
+        strict=True, width_s=bucket_s,
+    )
+    first = F.coalesce(F.col("_before._no"), F.lit(0)).alias("_from")
+    block = lambda no: F.floor(no / n).cast("bigint")
+    asks = starts.select(span_id, *keys, F.col(end).alias("_end"), first).withColumn(
+        "_block", F.explode(F.array(block(F.col("_from") + 1), block(F.col("_from") + n)))
+    ).distinct()
+    hits = asks.join(numbered.withColumn("_block", block(F.col("_no"))), [*keys, "_block"]).where(
+        (F.col("_no") > F.col("_from")) & (F.col("_no") <= F.col("_from") + n) & (F.col(at) <= F.col("_end"))
+    )
+    return hits.withColumn("position", F.col("_no") - F.col("_from")).drop("_block", "_no", "_from", "_end")
+
+
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], width: float
 ) -> DataFrame:

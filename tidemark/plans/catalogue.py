@@ -1,4 +1,11 @@
 """Import every plan module so that its queries register."""
 
-from tidemark.plans import event_queries, evidence_queries, health_queries, metric_queries, scalar_queries  # noqa: F401
+from tidemark.plans import (  # noqa: F401
+    event_queries,
+    evidence_queries,
+    health_queries,
+    investigation_queries,
+    metric_queries,
+    scalar_queries,
+)
 from tidemark.plans.registry import QUERIES, SQL  # noqa: F401

@@ -447,3 +447,77 @@ frame(
     FROM {orders}
     """,
 )
+frame(
+    "urls",
+    """
+    SELECT user_id AS url_id, user_id % 5 AS site, min(ts) AS valid_from, CASE WHEN user_id % 4 = 0 THEN max(ts) - INTERVAL '5' DAY END AS valid_to
+    FROM {events} GROUP BY user_id
+    """,
+)
+frame(
+    "sites",
+    """
+    SELECT DISTINCT user_id % 5 AS site, CASE WHEN user_id % 5 = 3 THEN 'OFF' ELSE 'ON' END AS monitoring_state,
+           TIMESTAMP '2024-01-03 00:00:00' + INTERVAL '1' HOUR * CAST(user_id % 5 * 7 AS INT) AS enabled_at, 'UTC' AS zone
+    FROM {events}
+    """,
+)
+FAMILY = "CASE {0} % 4 WHEN 0 THEN 'VIDEO' WHEN 1 THEN 'GAM_ADSERVING' WHEN 2 THEN 'SEARCH_DISCOVER' ELSE 'CONSENT_CMP' END"
+frame("hyp_families", f"SELECT c_custkey AS incident_id, {FAMILY.format('c_custkey')} AS family FROM {{customer}}")
+frame(
+    "hyp_events",
+    f"SELECT o_custkey AS incident_id, {FAMILY.format('o_orderkey')} AS family, o_orderpriority IN ('1-URGENT', '2-HIGH') AS supports, o_orderkey AS evidence_id "
+    "FROM {orders} WHERE o_orderstatus <> 'P'",
+)
+frame(
+    "hyp_relations",
+    f"SELECT o_custkey AS incident_id, {FAMILY.format('o_orderkey')} AS from_family, {FAMILY.format('(o_orderkey + o_custkey % 3)')} AS to_family, "
+    "CASE o_orderkey % 5 WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'PRECEDES' ELSE 'CONTRADICTS' END AS relation_type FROM {orders} WHERE o_orderstatus = 'P'",
+)
+frame("hyp_gaps", "SELECT o_custkey AS incident_id, concat('run ', CAST(o_orderkey % 3 AS STRING)) AS description FROM {orders} WHERE o_orderkey % 13 = 0")
+frame("hyp_notes", "SELECT o_custkey AS incident_id, o_orderkey AS note_id FROM {orders} WHERE o_orderkey % 17 = 0")
+frame(
+    "edges",
+    """
+    SELECT l_orderkey * 8 + l_linenumber AS edge_id, l_partkey % 500 AS from_id, l_suppkey * 5 % 500 AS to_id,
+           CASE l_linenumber WHEN 1 THEN 'PRECEDES' WHEN 2 THEN 'SUPPORTS' WHEN 3 THEN 'CONTRADICTS' WHEN 4 THEN 'CAUSES' ELSE 'COINCIDES_WITH' END AS relation_type,
+           concat('r', CAST(l_orderkey % 3 AS STRING)) AS engine_version, l_shipdate AS at, l_orderkey % 60 AS site
+    FROM {lineitem}
+    """,
+)
+frame(
+    "machine_events",
+    """
+    SELECT user_id % 5 AS site, ts AS at, event_id AS id, event_type AS detail, CASE WHEN event_id % 2 = 0 THEN 'EXACT' ELSE 'WINDOW' END AS precision, ts AS occurred_before
+    FROM {events}
+    """,
+)
+frame(
+    "human_notes",
+    """
+    SELECT o_custkey % 5 AS site, o_orderdate + INTERVAL '1' DAY * 9500 AS at, o_orderkey AS id, o_orderpriority AS detail FROM {orders}
+    """,
+)
+frame(
+    "corpus",
+    """
+    SELECT d.doc_id AS incident_id, d.source, d.lang, d.n_chars AS evidence_score,
+           CASE WHEN l.quality = 1 THEN 'confirmed' WHEN l.quality = 0 THEN 'suspected' ELSE 'unknown' END AS root_cause_status,
+           CASE WHEN l.toxic = 1 THEN 'hard' WHEN l.toxic = 0 THEN 'easy' ELSE 'open' END AS difficulty
+    FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id
+    """,
+)
+frame(
+    "pack_incidents",
+    """
+    SELECT c_custkey AS incident_id, c_custkey % 60 AS site, concat(c_name, ' ', c_mktsegment) AS incident_text,
+           TIMESTAMP '1996-01-01 00:00:00' + INTERVAL '1' DAY * CAST(c_custkey * 7 % 1500 AS INT) AS window_start,
+           TIMESTAMP '1996-01-01 00:00:00' + INTERVAL '1' DAY * CAST(c_custkey * 7 % 1500 + 30 + c_custkey % 40 AS INT) AS window_end
+    FROM {customer}
+    """,
+)
+frame("pack_runs", "SELECT l_orderkey % 60 AS site, l_shipdate AS at, l_orderkey * 1000000 + l_partkey * 100 + l_suppkey % 100 AS id, concat(CAST(l_orderkey AS STRING), ':', l_returnflag) AS entry FROM {lineitem}")
+frame("pack_configs", "SELECT o_custkey % 60 AS site, o_orderdate AS at, o_orderkey AS id, concat(CAST(o_orderkey AS STRING), ':', o_orderstatus) AS entry FROM {orders}")
+frame("pack_events", "SELECT o_orderkey % 60 AS site, o_orderdate AS at, o_orderkey AS id, concat(CAST(o_orderkey AS STRING), ':', o_orderpriority) AS entry FROM {orders}")
+frame("pack_relations", "SELECT o_custkey % 60 AS site, o_orderdate AS at, o_orderkey AS id, concat('relation ', CAST(o_orderkey AS STRING), ' to ', CAST(o_custkey AS STRING), ' engine version r1 confidence MEDIUM, derived on one day') AS entry FROM {orders} WHERE o_orderstatus = 'P'")
+frame("pack_notes", "SELECT o_custkey % 60 AS site, o_orderdate AS at, o_orderkey AS id, concat('note ', CAST(o_orderkey AS STRING), ' human_reported by operator, type CONFIG_CHANGE, text ', o_orderpriority) AS entry FROM {orders} WHERE o_orderpriority = '1-URGENT'")
