@@ -7,5 +7,6 @@ from tidemark.plans import (  # noqa: F401
     investigation_queries,
     metric_queries,
     scalar_queries,
+    source_queries,
 )
 from tidemark.plans.registry import QUERIES, SQL  # noqa: F401

@@ -521,3 +521,31 @@ frame("pack_configs", "SELECT o_custkey % 60 AS site, o_orderdate AS at, o_order
 frame("pack_events", "SELECT o_orderkey % 60 AS site, o_orderdate AS at, o_orderkey AS id, concat(CAST(o_orderkey AS STRING), ':', o_orderpriority) AS entry FROM {orders}")
 frame("pack_relations", "SELECT o_custkey % 60 AS site, o_orderdate AS at, o_orderkey AS id, concat('relation ', CAST(o_orderkey AS STRING), ' to ', CAST(o_custkey AS STRING), ' engine version r1 confidence MEDIUM, derived on one day') AS entry FROM {orders} WHERE o_orderstatus = 'P'")
 frame("pack_notes", "SELECT o_custkey % 60 AS site, o_orderdate AS at, o_orderkey AS id, concat('note ', CAST(o_orderkey AS STRING), ' human_reported by operator, type CONFIG_CHANGE, text ', o_orderpriority) AS entry FROM {orders} WHERE o_orderpriority = '1-URGENT'")
+frame(
+    "drill_requests",
+    """
+    SELECT event_id AS request_id, event_id % 13 AS pick, CAST(ts AS DATE) AS start_date,
+           CAST(CAST(ts AS DATE) + INTERVAL '1' DAY * CAST(event_id % 9 AS INT) AS DATE) AS end_date, user_id
+    FROM {events}
+    """,
+)
+frame(
+    "entity_obs",
+    "SELECT l_orderkey % 60 AS site, CASE WHEN l_linenumber % 2 = 0 THEN 'SCRIPT' ELSE 'SLOT' END AS kind, concat('k', CAST(l_partkey % 50 AS STRING)) AS stable_key, l_shipdate AS at FROM {lineitem}",
+)
+frame(
+    "config_obs",
+    """
+    SELECT o_orderkey AS snapshot_id, o_custkey % 40 AS site, CASE o_custkey % 2 WHEN 0 THEN 'ADS_TXT' ELSE 'ROBOTS_TXT' END AS config_type,
+           CAST(CAST(o_orderdate AS DATE) AS STRING) AS source_key, o_orderdate AS at
+    FROM {orders}
+    """,
+)
+frame(
+    "extract_log",
+    """
+    SELECT o_orderkey AS extract_id, o_custkey % 40 AS connection_id, CAST(CAST(o_orderdate AS DATE) AS STRING) AS run_key, o_orderstatus AS definition,
+           CASE WHEN o_orderkey % 3 = 0 THEN 'q1' ELSE 'q2' END AS query, 'MATURE' AS freshness
+    FROM {orders}
+    """,
+)

@@ -97,7 +97,7 @@ def ga4_points(reports: DataFrame, definitions: DataFrame) -> tuple[DataFrame, D
             F.exists(rows, lambda x: ~F.coalesce((F.size(x["dimensionValues"]) == F.size("dimensions")) & (F.size(x["metricValues"]) == F.size("metrics")), F.lit(False))),
             "CARDINALITY",
         ),
-        (F.exists(rows, lambda x: ~F.coalesce(raw_time(x).rlike(time_format) & parsed(raw_time(x)).isNotNull(), F.lit(False))), "TEMPORAL_DIMENSION"),
+        (F.exists(rows, lambda x: ~F.coalesce(F.rlike(raw_time(x), time_format) & parsed(raw_time(x)).isNotNull(), F.lit(False))), "TEMPORAL_DIMENSION"),
         (F.exists(rows, lambda x: ~numbers_ok(x)), "METRIC_VALUE"),
     )
     good, rejected = _split(df.withColumn("rows", rows), reason, "report_id")
