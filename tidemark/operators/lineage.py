@@ -31,8 +31,8 @@ def previous_comparable(runs: DataFrame, bucket_s: int = 30 * 86_400) -> DataFra
         F.coalesce("completed_at", F.lit(FAR).cast("timestamp")).alias("done"),
         F.col("run_id").alias("id"),
     )
-    exact = latest_before(final, ["site", "scenario_id", "url_id"], "scheduled_for", payload, "_exact", bucket_s)
-    both = latest_before(exact, ["site", "scenario_id", "template_id"], "scheduled_for", payload, "_rotated", bucket_s)
+    exact = latest_before(final, ["site", "scenario_id", "url_id"], "scheduled_for", {"_exact": payload}, bucket_s)
+    both = latest_before(exact, ["site", "scenario_id", "template_id"], "scheduled_for", {"_rotated": payload}, bucket_s)
     return both.withColumn("previous_id", F.coalesce("_exact.id", "_rotated.id")).withColumn(
         "selection_scope",
         either((F.col("_exact").isNotNull(), "EXACT_MONITORED_URL"), (F.col("_rotated").isNotNull(), "SAME_TEMPLATE_URL_ROTATION")),

@@ -79,36 +79,28 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
 
 
 def latest_before(
-    facts: DataFrame,
-    keys: Sequence[str],
-    at: str,
-    payload: Column,
-    out: str,
-    bucket_s: int = DAY,
+    facts: DataFrame, keys: Sequence[str], at: str, payloads: dict[str, Column], bucket_s: int = DAY
 ) -> DataFrame:
-    """As-of self join: greatest ``payload`` struct at a strictly earlier ``at`` of the same key.
+    """As-of self join: greatest payload struct at a strictly earlier ``at`` of the same key.
 
-    The payload struct starts with the ordering fields and is null on rows that must not serve
-    as a predecessor.  Rows sharing key and time collapse before the shuffle, so only distinct
-    times are windowed; the result is joined back on (key, time).
+    ``payloads`` maps output columns to structs that start with the ordering fields and are null
+    on rows that must not serve as that predecessor.  Rows sharing key and time collapse before
+    the shuffle, so only distinct times are windowed; the result is joined back on (key, time).
     """
     points = (
         facts.groupBy(*keys, at)
-        .agg(F.max(payload).alias("_best"))
+        .agg(*[F.max(p).alias(f"_best_{n}") for n, p in payloads.items()])
         .withColumn("_micros", F.unix_micros(at))
         .withColumn("_bucket", time_bucket(at, bucket_s))
     )
     scope = [*keys, "_bucket"]
     local = Window.partitionBy(*scope).orderBy("_micros").rangeBetween(Window.unboundedPreceding, -1)
-    ends = points.groupBy(*scope).agg(F.max("_best").alias("_end"))
+    ends = points.groupBy(*scope).agg(*[F.max(f"_best_{n}").alias(f"_end_{n}") for n in payloads])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select(*scope, F.max("_end").over(earlier).alias("_start"))
+    starts = ends.select(*scope, *[F.max(f"_end_{n}").over(earlier).alias(f"_start_{n}") for n in payloads])
     # A later time always beats an earlier one, so the local best wins over the carried one.
-    found = (
-        points.withColumn("_local", F.max("_best").over(local))
-        .join(starts, scope)
-        .select(*keys, at, F.coalesce("_local", "_start").alias(out))
-    )
+    found = points.select(*scope, at, *[F.max(f"_best_{n}").over(local).alias(f"_local_{n}") for n in payloads]).join(starts, scope)
+    found = found.select(*keys, at, *[F.coalesce(f"_local_{n}", f"_start_{n}").alias(n) for n in payloads])
     return facts.join(found, [*keys, at], "left")
 
 

@@ -549,3 +549,51 @@ frame(
     FROM {orders}
     """,
 )
+frame(
+    "ads_files",
+    """
+    SELECT s_suppkey AS file_id, s_suppkey % 7 AS variant,
+           CASE s_suppkey % 7
+             WHEN 0 THEN concat('# head', chr(10), 'ad', CAST(s_suppkey AS STRING), '.Example.com, acct-', CAST(s_nationkey AS STRING), ' , direct # inline', chr(13), chr(10), chr(10),
+                                'other.example.org,7,RESELLER,CERT9', chr(10))
+             WHEN 1 THEN concat('dup.example.com,1,DIRECT', chr(10), 'DUP.example.com , 1, direct', chr(10), 'bad line', chr(10), 'x.example.com,,DIRECT')
+             WHEN 2 THEN concat('OWNERDOMAIN=own', CAST(s_suppkey AS STRING), '.example.com', chr(10), 'ownerdomain = second.example.com', chr(10), 'MANAGERDOMAIN=man.example.com, us', chr(10),
+                                'CONTACT=', chr(10), 'a.example.com,1,DIRECT,')
+             WHEN 3 THEN concat('   ', chr(10), '# only comments')
+             WHEN 4 THEN 'localhost,1,DIRECT'
+             WHEN 5 THEN concat('b.example.com,', CAST(s_suppkey AS STRING), ',OWNER', chr(10), 'b.example.com,2,RESELLER')
+             ELSE concat('MANAGERDOMAIN=m.example.com,usa', chr(10), 'SUBDOMAIN=nope', chr(10), 'c.example.com,3,DIRECT') END AS text
+    FROM {supplier}
+    """,
+)
+frame(
+    "robots_files",
+    """
+    SELECT n_nationkey AS file_id, n_nationkey % 5 AS variant,
+           CASE n_nationkey % 5
+             WHEN 0 THEN concat('User-agent: *', chr(10), 'Disallow: /', chr(10), 'User-agent: GoodBot', chr(10), 'Allow: /')
+             WHEN 1 THEN concat('Disallow: /early', chr(10), 'User-agent: *', chr(10), 'User-agent: Slow', chr(10), 'Disallow: /p/', chr(10), 'Allow: /p/1', chr(10), 'Disallow: /*.pdf$', chr(10),
+                                'User-agent: Slow', chr(10), 'Disallow: /%7etmp', chr(10), 'Disallow: nope')
+             WHEN 2 THEN concat('# nothing', chr(10))
+             WHEN 3 THEN concat('User-agent: *', chr(10), 'Disallow:', chr(10), 'User-agent: GoodBot', chr(10), 'Disallow: /p/', chr(10), 'just text', chr(10), 'Sitemap: https://x.example.com/s.xml')
+             ELSE concat('Allow: /x', chr(10), 'User-agent: bad agent 9') END AS text
+    FROM {nation}
+    """,
+)
+frame(
+    "robots_urls",
+    """
+    SELECT o_orderkey AS url_id, CAST(o_custkey % 25 AS INT) AS file_id, CASE o_orderkey % 3 WHEN 0 THEN 'GoodBot/2.1' WHEN 1 THEN 'slowcrawler' ELSE 'other' END AS user_agent,
+           CASE o_orderkey % 6 WHEN 0 THEN '/' WHEN 1 THEN concat('/p/', CAST(o_orderkey % 20 AS STRING)) WHEN 2 THEN '/a/b.pdf' WHEN 3 THEN '/~tmp/x' WHEN 4 THEN '/a/b.pdf?x=1' ELSE '/q' END AS path
+    FROM {orders}
+    """,
+)
+frame(
+    "fetches",
+    """
+    SELECT o_orderkey AS fetch_id, CASE o_orderkey % 2 WHEN 0 THEN 'ADS_TXT' ELSE 'ROBOTS_TXT' END AS config_type,
+           CASE WHEN o_orderkey % 17 = 0 THEN 'PUBLIC_CONFIG_TOO_LARGE' WHEN o_orderkey % 19 = 0 THEN 'PUBLIC_CONFIG_SECURITY_ERROR' WHEN o_orderkey % 23 = 0 THEN 'TIMEOUT' END AS error_code,
+           CASE o_orderkey % 5 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 410 WHEN 3 THEN 500 ELSE 403 END AS http_status
+    FROM {orders}
+    """,
+)
