@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark.functions.shape import either
-from tidemark.functions.text import path_family
+from tidemark.functions.text import bind, path_family
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
@@ -37,8 +37,7 @@ BID_SERVER_PATHS = ("/openrtb2/auction", "/openrtb2/amp")
 def host(url: Column) -> Column:
     """Lower-case host without user, port and trailing dots; null when there is none."""
     authority = F.regexp_extract(url, AUTHORITY, 1)
-    name = F.regexp_replace(F.lower(F.regexp_extract(authority, HOST, 1)), r"\.+$", "")
-    return F.when(name != "", name)
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(authority, HOST, 1)), r"\.+$", ""), F.lit(""))
 
 
 def path(url: Column) -> Column:
@@ -180,4 +179,4 @@ def norm_domain(value: Column, international: bool = False) -> Column:
     if international:
         foreign = name.rlike(r"[^\x00-\x7f]")
         name = F.coalesce(F.when(~foreign, name), _idna(F.when(foreign, name)))
-    return F.when((F.length(name) <= 253) & name.rlike(DOMAIN), name)
+    return bind(name, lambda n: F.when((F.length(n) <= 253) & n.rlike(DOMAIN), n))

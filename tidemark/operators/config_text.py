@@ -14,7 +14,7 @@ from tidemark.catalogs import ADS_CONDITION_CODES, HEALTHY_CONFIG_STATUSES
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.functions.shape import either
-from tidemark.operators.ordered import latest_before, top_n
+from tidemark.operators.ordered import latest_before
 
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 # --- fixed values: seller file directives and bounds ------------------------------------------
@@ -80,23 +80,27 @@ def ads_lines(files: DataFrame, international: bool = True) -> DataFrame:
 
 
 def ads_diagnosed(lines: DataFrame) -> DataFrame:
-    """Adds what depends on other lines: duplicate records, later owners, records past the bound."""
+    """Adds what depends on other lines: duplicate records, later owners, records past the bound.
+
+    All windows share the partitioning by file, so the lines move once.
+    """
+    per_file = Window.partitionBy("file_id")
+    so_far = per_file.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    record = F.col("kind") == "RECORD"
     valid_owner = (F.col("directive") == "OWNERDOMAIN") & F.col("domain").isNotNull()
-    firsts = lines.where(F.col("kind") == "RECORD").groupBy("file_id", "record_hash").agg(F.min("line_no").alias("first_line"))
-    # The bound only bites in files with more records than it allows; only those are ranked.
-    big = firsts.groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") > MAX_RECORDS).select("file_id")
-    kept = top_n(firsts.join(big, "file_id", "left_semi"), ["file_id"], [F.col("first_line")], MAX_RECORDS).select("file_id", "record_hash", "first_line")
-    firsts = firsts.join(big, "file_id", "left_anti").unionByName(kept)
-    owners = lines.where(valid_owner).groupBy("file_id").agg(F.min("line_no").alias("owner_line"))
-    joined = lines.join(firsts, ["file_id", "record_hash"], "left").join(owners, "file_id", "left")
+    df = lines.withColumn("_first", F.min("line_no").over(Window.partitionBy("file_id", "record_hash")))
+    df = df.withColumn("_owner", F.min(F.when(valid_owner, F.col("line_no"))).over(per_file))
+    df = df.withColumn("_new", record & (F.col("line_no") == F.col("_first")))
+    df = df.withColumn("_held", F.coalesce(F.count_if("_new").over(so_far), F.lit(0)))
     extra = either(
-        ((F.col("kind") == "RECORD") & F.col("first_line").isNull(), "RECORD_LIMIT_EXCEEDED"),
-        ((F.col("kind") == "RECORD") & (F.col("line_no") > F.col("first_line")), "DUPLICATE_RECORD"),
-        (valid_owner & (F.col("line_no") > F.col("owner_line")), "DUPLICATE_OWNERDOMAIN"),
+        (record & (F.col("_held") >= MAX_RECORDS), "RECORD_LIMIT_EXCEEDED"),
+        (record & ~F.col("_new"), "DUPLICATE_RECORD"),
+        (valid_owner & (F.col("line_no") > F.col("_owner")), "DUPLICATE_OWNERDOMAIN"),
+    )
+    return df.select(
+        *lines.columns[:-1], F.coalesce("problem", extra).alias("problem"), (F.col("_new") & (F.col("_held") < MAX_RECORDS)).alias("is_first"),
+        F.coalesce(valid_owner & (F.col("line_no") == F.col("_owner")), F.lit(False)).alias("is_owner"),
     )
-    return joined.withColumn("problem", F.coalesce("problem", extra)).withColumn(
-        "is_first", F.coalesce(F.col("line_no") == F.col("first_line"), F.lit(False))
-    ).withColumn("is_owner", F.coalesce(valid_owner & (F.col("line_no") == F.col("owner_line")), F.lit(False))).drop("first_line", "owner_line")
 
 
 def ads_records(files: DataFrame) -> DataFrame:

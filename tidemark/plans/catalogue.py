@@ -9,5 +9,6 @@ from tidemark.plans import (  # noqa: F401
     metric_queries,
     scalar_queries,
     source_queries,
+    stream_queries,
 )
 from tidemark.plans.registry import QUERIES, SQL  # noqa: F401

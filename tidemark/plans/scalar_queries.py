@@ -209,7 +209,7 @@ def title_hash(t):
     return t.pages.select("page_id", T.title_hash(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title_hash"))
 
 
-@query("consent_hash", "SELECT B(event_id) AS event_id, sha256(trim(props)) AS tc_hash FROM events")
+@query("tc_hash", "SELECT B(event_id) AS event_id, sha256(trim(props)) AS tc_hash FROM events")
 def consent_hash(t):
     return t.events.select("event_id", T.consent_hash(C("props")).alias("tc_hash"))
 
