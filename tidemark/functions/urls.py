@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +16,10 @@ SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*([^?#]*)"
 QUERY = r"^[^?#]*\?([^#]*)"
-HOST = r"^(?:.*@)?(\[[^\]]*\]|[^:]*)"
+HOST = (
+    r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?"
+    r"(\[[^\]/?#]*\]|[^:/?#@\[]*?[^:/?#@\[.])\.*(?::[^/?#]*)?(?:[/?#]|$)"
+)
 PORT = r":(\d+)$"
 
 # --- fixed values: dependency categories, first match wins --------------------------------
@@ -36,8 +41,8 @@ BID_SERVER_PATHS = ("/openrtb2/auction", "/openrtb2/amp")
 
 def host(url: Column) -> Column:
     """Lower-case host without user, port and trailing dots; null when there is none."""
-    authority = F.regexp_extract(url, AUTHORITY, 1)
-    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(authority, HOST, 1)), r"\.+$", ""), F.lit(""))
+    # One extraction, null without a match: every reference to a host costs a single scan.
+    return F.lower(F.try_element_at(F.regexp_extract_all(url, F.lit(HOST), F.lit(1)), F.lit(1)))
 
 
 def path(url: Column) -> Column:
@@ -45,15 +50,14 @@ def path(url: Column) -> Column:
 
 
 def _any_in(value: Column, needles: tuple[str, ...]) -> Column:
-    found = F.contains(value, F.lit(needles[0]))
-    for needle in needles[1:]:
-        found = found | F.contains(value, F.lit(needle))
-    return found
+    return value.rlike("|".join(re.escape(n) for n in needles))
 
 
 def dependency_category(host_column: Column, path_column: Column) -> Column:
-    value = F.lower(F.concat(host_column, path_column))
-    return either(*[(_any_in(value, needles), name) for name, needles in CATEGORIES], otherwise="UNKNOWN")
+    return bind(
+        F.lower(F.concat(host_column, path_column)),
+        lambda value: either(*[(_any_in(value, needles), name) for name, needles in CATEGORIES], otherwise="UNKNOWN"),
+    )
 
 
 def resource_type(kind: Column) -> Column:
@@ -71,11 +75,8 @@ def is_vast(path_column: Column) -> Column:
 
 
 def is_media(path_column: Column, kind: Column) -> Column:
-    lowered = F.lower(F.substring(path_column, 1, 2000))
-    found = kind == "media"
-    for extension in MEDIA_EXTENSIONS:
-        found = found | F.endswith(lowered, F.lit(extension))
-    return F.coalesce(found, F.lit(False))
+    ending = "(" + "|".join(re.escape(e) for e in MEDIA_EXTENSIONS) + ")$"
+    return F.coalesce(kind == "media", F.lit(False)) | F.lower(F.substring(path_column, 1, 2000)).rlike(ending)
 
 
 def is_ad_server(host_column: Column, path_column: Column) -> Column:

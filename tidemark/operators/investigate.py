@@ -225,22 +225,26 @@ def evidence_pack(
     Incidents: incident_id, site, window_start, window_end, plus text.  Each section holds
     (site, at, id, entry); machine sections are cut at their bounds, notes count up to the end.
     """
-    open_start = incidents.withColumn("window_start", F.lit("1970-01-01 00:00:00").cast("timestamp"))
     free = PACK_BYTES // PACK_ENTRY + 1
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp")
     sections = (
-        ("scheduled_checkpoints", incidents, runs, PACK_RUNS),
-        ("public_config_states", incidents, snapshots, PACK_SNAPSHOTS),
-        ("events", incidents, events, PACK_EVENTS),
-        ("relations", incidents, relations, free),
-        ("human_reported_notes", open_start, notes, free),
+        ("scheduled_checkpoints", runs, PACK_RUNS, F.col("window_start")),
+        ("public_config_states", snapshots, PACK_SNAPSHOTS, F.col("window_start")),
+        ("events", events, PACK_EVENTS, F.col("window_start")),
+        ("relations", relations, free, F.col("window_start")),
+        ("human_reported_notes", notes, free, epoch),
     )
-    rows = None
-    for name, spans, facts, n in sections:
-        head = window_head(
-            spans.select("incident_id", "site", "window_start", "window_end"), facts.select("site", "at", "id", "entry"),
-            ["site"], "incident_id", "window_start", "window_end", "at", "id", n, bucket_s=7 * 86_400,
-        ).select("incident_id", F.lit(name).alias("section"), "position", "entry")
-        rows = head if rows is None else rows.unionByName(head)
+    # All sections travel as one fact table, so they are numbered and looked up in one pass.
+    facts = None
+    for name, rows, n, _ in sections:
+        part = rows.select("site", "at", "id", "entry", F.lit(name).alias("section"), F.lit(n).cast("bigint").alias("n"))
+        facts = part if facts is None else facts.unionByName(part)
+    asks = F.array(*[F.struct(F.lit(name).alias("section"), F.lit(n).cast("bigint").alias("n"), since.alias("since")) for name, _, n, since in sections])
+    spans = incidents.select("incident_id", "site", "window_end", F.explode(asks).alias("_ask")).select(
+        F.concat_ws(":", F.col("incident_id").cast("string"), "_ask.section").alias("span_id"), "incident_id", "site", "window_end", "_ask.*"
+    )
+    heads = window_head(spans, facts, ["site", "section"], "span_id", "since", "window_end", "at", "id", "n", bucket_s=7 * 86_400)
+    rows = heads.join(spans.select("span_id", "incident_id"), "span_id").select("incident_id", "section", "position", "entry")
     sizes = rows.groupBy("incident_id").agg(F.sum(F.octet_length("entry") + 3).alias("_bytes"))
     small = sizes.where(F.col("_bytes") <= PACK_BYTES).select("incident_id")
     # Only incidents whose entries fit a pack are gathered; each is then at most PACK_BYTES big.

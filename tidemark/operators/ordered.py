@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import RANK_TRIM_LIMIT
+
 DAY = 86_400
-# Above this the engine stops trimming ranks before the shuffle, so we trim in two steps.
-RANK_TRIM_LIMIT = 1000
 
 
 def time_bucket(ts: Column | str, width_s: int = DAY) -> Column:
@@ -31,7 +31,7 @@ def order_struct(order: Sequence[str]) -> Column:
 def carry_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, bucket: Column
 ) -> DataFrame:
-    """Last non-null ``value`` strictly before each row; ``order`` is unique within a key."""
+    """Last non-null ``value`` strictly before each row; ``order`` is unique among rows that have one."""
     df = df.withColumn("_bucket", bucket)
     scope = [*keys, "_bucket"]
     local = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -136,41 +136,43 @@ def asof_join(
     kind_of_right = 1 if strict else 0
     rows = right.where(F.col(right_at).isNotNull()).select(
         *keys, (F.unix_micros(right_at) * sign).alias("_t"), F.lit(kind_of_right).alias("_kind"), (F.col(right_id) * sign).alias("_id"), seen.alias("_seen"),
+        F.lit(None).cast(left.schema[left_id].dataType).alias("_ask"),
     )
     asks = left.select(
-        *keys, F.coalesce(F.unix_micros(left_at) * sign, edge).alias("_t"), F.lit(1 - kind_of_right).alias("_kind"), F.col(left_id).alias("_id"),
-        F.lit(None).cast(rows.schema["_seen"].dataType).alias("_seen"),
+        *keys, F.coalesce(F.unix_micros(left_at) * sign, edge).alias("_t"), F.lit(1 - kind_of_right).alias("_kind"), F.lit(0).alias("_id"),
+        F.lit(None).cast(rows.schema["_seen"].dataType).alias("_seen"), F.col(left_id).alias("_ask"),
     )
     line = carry_previous(
         rows.unionByName(asks), keys, ["_t", "_kind", "_id"], "_seen", out, F.floor(F.col("_t") / (width_s * 1_000_000))
     )
-    found = line.where(F.col("_kind") == 1 - kind_of_right).select(F.col("_id").alias(left_id), out)
+    found = line.where(F.col("_kind") == 1 - kind_of_right).select(F.col("_ask").alias(left_id), out)
     return left.join(found, left_id, "left")
 
 
 def window_head(
-    spans: DataFrame, facts: DataFrame, keys: Sequence[str], span_id: str, start: str, end: str, at: str, fact_id: str, n: int,
+    spans: DataFrame, facts: DataFrame, keys: Sequence[str], span_id: str, start: str, end: str, at: str, fact_id: str, n: str,
     bucket_s: int = DAY,
 ) -> DataFrame:
-    """First ``n`` facts of each span's inclusive window, by (at, id).
+    """First facts of each span's inclusive window by (at, id), up to the bound in column ``n``.
 
     Facts are numbered per key once.  A span looks up the number before its start and then meets
-    only the two blocks of ``n`` numbers its head can lie in, so a hot key never fans out.
+    only the two blocks of ``n`` numbers its head can lie in, so a hot key never fans out.  The
+    bound is the same for all spans and facts of a key; both sides carry it.
     """
     numbered = ordinal(facts, keys, [at, fact_id], "_no", time_bucket(at, bucket_s))
     starts = asof_join(
-        spans.select(span_id, *keys, start, end), numbered, keys, start, span_id, at, fact_id, ["_no"], "_before",
+        spans.select(span_id, *keys, n, start, end), numbered, keys, start, span_id, at, fact_id, ["_no"], "_before",
         strict=True, width_s=bucket_s,
     )
     first = F.coalesce(F.col("_before._no"), F.lit(0)).alias("_from")
-    block = lambda no: F.floor(no / n).cast("bigint")
-    asks = starts.select(span_id, *keys, F.col(end).alias("_end"), first).withColumn(
-        "_block", F.explode(F.array(block(F.col("_from") + 1), block(F.col("_from") + n)))
-    ).distinct()
-    hits = asks.join(numbered.withColumn("_block", block(F.col("_no"))), [*keys, "_block"]).where(
-        (F.col("_no") > F.col("_from")) & (F.col("_no") <= F.col("_from") + n) & (F.col(at) <= F.col("_end"))
+    block = lambda no: F.floor(no / F.col(n)).cast("bigint")
+    asks = starts.select(span_id, *keys, n, F.col(end).alias("_end"), first).withColumn(
+        "_block", F.explode(F.array_distinct(F.array(block(F.col("_from") + 1), block(F.col("_from") + F.col(n)))))
+    )
+    hits = asks.join(numbered.withColumn("_block", block(F.col("_no"))).drop(n), [*keys, "_block"]).where(
+        (F.col("_no") > F.col("_from")) & (F.col("_no") <= F.col("_from") + F.col(n)) & (F.col(at) <= F.col("_end"))
     )
-    return hits.withColumn("position", F.col("_no") - F.col("_from")).drop("_block", "_no", "_from", "_end")
+    return hits.withColumn("position", F.col("_no") - F.col("_from")).drop("_block", "_no", "_from", "_end", n)
 
 
 def exact_percentiles(

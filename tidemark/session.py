@@ -7,12 +7,16 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+RANK_TRIM_LIMIT = 10_000
+
 # Runtime settings every job relies on; cluster sizing stays with the cluster.
 JOB_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Ranks up to this bound are trimmed on the map side, so hot keys shuffle only their heads.
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(RANK_TRIM_LIMIT),
 }
 
 
