@@ -21,10 +21,15 @@ def wall_interval(local: Column, zone: Column | str, unit: str) -> Column:
     )
 
 
+def exists_locally(local: Column, zone: Column | str) -> Column:
+    """False for wall-clock times a forward clock change skips."""
+    return F.from_utc_timestamp(F.to_utc_timestamp(local, zone), zone) == local
+
+
 def ad_server_hour(local: Column, zone: Column | str) -> Column:
     """Ad-server rule: a skipped hour is invalid, a repeated hour spans both readings and is flagged."""
     first = F.to_utc_timestamp(local, zone)
-    exists = F.from_utc_timestamp(first, zone) == local
+    exists = exists_locally(local, zone)
     again = F.coalesce(
         *[
             F.when(F.from_utc_timestamp(_plus(first, f"INTERVAL '{m}' MINUTE"), zone) == local, _plus(first, f"INTERVAL '{m}' MINUTE"))

@@ -118,7 +118,7 @@ PAGE = 200
 
 
 def gam_pages(t):
-    """One result per site and week.  Site 3 lacks a page, site 2 types a count as double in its second week."""
+    """One result per site and week.  Site 3 declares a row too many, site 2 types a count as double in its second week."""
     e = t.events.withColumn("site", C("user_id") % 5).withColumn("w", F.expr("(day(ts) - 1) div 7"))
     typed = F.when(
         (C("site") == 2) & (C("w") == 1), F.struct(F.lit(None).cast("string").alias("intValue"), C("value").alias("doubleValue"))
@@ -132,16 +132,15 @@ def gam_pages(t):
     )
     keyed = e.withColumn("row", row).withColumn("chunk", F.expr(f"event_id div {PAGE}"))
     pages = keyed.groupBy("site", "w", "chunk").agg(F.collect_list("row").alias("rows"))
-    totals = keyed.groupBy("site", "w").agg(F.count("*").alias("total"), F.min("chunk").alias("first"), F.max("chunk").alias("last"))
+    totals = keyed.groupBy("site", "w").agg(F.count("*").alias("total"), F.max("chunk").alias("last"))
     date = lambda d: F.struct(F.year(d).alias("year"), F.month(d).alias("month"), F.day(d).alias("day"))
     start = F.date_add(F.lit("2024-01-01").cast("date"), (C("w") * 7).cast("int"))
     body = F.struct(
-        "rows", F.concat(F.date_format(F.date_add(start, 7), "yyyy-MM-dd"), F.lit("T10:00:00Z")).alias("runTime"), C("total").alias("totalRowCount"),
+        "rows", F.concat(F.date_format(F.date_add(start, 7), "yyyy-MM-dd"), F.lit("T10:00:00Z")).alias("runTime"), (C("total") + F.when(C("site") == 3, 1).otherwise(0)).alias("totalRowCount"),
         F.when(C("chunk") < C("last"), F.concat(F.lit("p"), C("chunk").cast("string"))).alias("nextPageToken"),
         F.array(F.struct(date(start).alias("startDate"), date(F.date_add(start, 6)).alias("endDate"))).alias("dateRanges"),
     )
-    lost = (C("site") == 3) & (C("chunk") == C("first") + 1)
-    return pages.join(totals, ["site", "w"]).where(~lost).select(
+    return pages.join(totals, ["site", "w"]).select(
         F.concat_ws(":", C("site").cast("string"), C("w").cast("string")).alias("result_id"), C("chunk").alias("page_no"),
         F.lit("GAM_INVENTORY_HEALTH_V1").alias("definition"), F.lit("LAST_7_DAYS").alias("profile"), C("site").cast("string").alias("network_code"), F.to_json(body).alias("payload"),
     )

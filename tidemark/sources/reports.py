@@ -35,12 +35,15 @@ PAGE_SCHEMA = """rows ARRAY<STRUCT<dimensionValues: ARRAY<STRUCT<stringValue: ST
 TIME_DIMENSIONS = ("date", "dateHour", "hour", "DATE", "HOUR")
 
 
-def known_zone(zone: Column) -> Column:
-    return zone.isin(*sorted(zoneinfo.available_timezones()))
+ZONES = ", ".join(f"'{name}'" for name in sorted(zoneinfo.available_timezones()))
 
 
-def _safe_zone(zone: Column) -> Column:
-    return F.when(known_zone(zone), zone).otherwise("UTC")
+def known_zone(column: str) -> Column:
+    return F.expr(f"coalesce({column} IN ({ZONES}), false)")
+
+
+def _safe_zone(column: str) -> Column:
+    return F.when(known_zone(column), F.col(column)).otherwise("UTC")
 
 
 def dimension_text(names: Column, values: Column) -> Column:
@@ -91,7 +94,7 @@ def ga4_points(reports: DataFrame, definitions: DataFrame) -> tuple[DataFrame, D
         (F.col("metrics").isNull(), "UNKNOWN_DEFINITION"),
         (~names("r.dimensionHeaders").eqNullSafe(F.col("dimensions")), "DIMENSION_HEADERS"),
         (~names("r.metricHeaders").eqNullSafe(F.transform("metrics", lambda m: m["api_name"])), "METRIC_HEADERS"),
-        (~F.coalesce(known_zone(zone), F.lit(False)), "TIME_ZONE"),
+        (~known_zone("r.metadata.timeZone"), "TIME_ZONE"),
         (F.size(rows) > MAX_ROWS["GA4"], "ROW_BOUND"),
         (
             F.exists(rows, lambda x: ~F.coalesce((F.size(x["dimensionValues"]) == F.size("dimensions")) & (F.size(x["metricValues"]) == F.size("metrics")), F.lit(False))),
@@ -107,7 +110,7 @@ def ga4_points(reports: DataFrame, definitions: DataFrame) -> tuple[DataFrame, D
     )
     local = parsed(raw_time(F.col("row")))
     hourly = F.col("granularity") == "HOUR"
-    zone_ok = _safe_zone(F.col("zone"))
+    zone_ok = F.col("zone")  # every report that got here names a known zone
     span = F.when(hourly, Z.wall_interval(local, zone_ok, "HOUR")).otherwise(Z.wall_interval(local, zone_ok, "DAY"))
     timed = long.withColumn("span", span).withColumn("source_time", raw_time(F.col("row"))).withColumn(
         "dimension_text", dimension_text(F.col("dimensions"), F.transform("row.dimensionValues", lambda v: v["value"]))
@@ -185,7 +188,8 @@ def gam_points(pages: DataFrame, networks: DataFrame, definitions: DataFrame) ->
     df = _with_definitions(pages, definitions, PAGE_SCHEMA).join(networks, "network_code", "left")
     empty = F.array().cast(df.schema["r"].dataType["rows"].dataType)
     df = df.withColumn("rows", F.coalesce("r.rows", empty))
-    zone = _safe_zone(F.col("zone"))
+    df = df.withColumn("zone_ok", known_zone("zone")).withColumn("zone", _safe_zone("zone"))
+    zone = F.col("zone")
     span = F.try_element_at(F.col("r.dateRanges"), F.lit(1))
     date_of = lambda d: Z.google_date(d["year"], d["month"], d["day"])
     run_at = Z.run_time(F.col("r.runTime"))
@@ -211,21 +215,24 @@ def gam_points(pages: DataFrame, networks: DataFrame, definitions: DataFrame) ->
     today = F.col("profile") == "TODAY"
     want_end = F.when(today, F.col("run_date")).otherwise(F.date_sub("run_date", 1))
     want_start = F.when(today, want_end).otherwise(F.date_sub(want_end, 6))
-    marked = df.withColumn("rows_ok", F.forall("rows", row_ok)).withColumn(
+    wall = lambda row: F.to_timestamp(local_day(row)) + F.make_dt_interval(hours=hour(row))
+    hours_ok = F.forall("rows", lambda row: F.coalesce(Z.exists_locally(wall(row), zone), F.lit(True)))
+    marked = df.withColumn("rows_ok", F.forall("rows", row_ok)).withColumn("hours_ok", hours_ok).withColumn(
         "range_ok", F.coalesce((F.size("r.dateRanges") == 1) & (F.col("start") == want_start) & (F.col("end") == want_end), F.lit(False))
     )
     results = marked.groupBy("result_id").agg(
         F.sum(F.size("rows")).alias("row_count"), F.min("r.totalRowCount").alias("low"), F.max("r.totalRowCount").alias("high"),
         F.count("*").alias("pages"), F.max("page_no").alias("last_page"), F.min("page_no").alias("first_page"),
         F.count_if(F.coalesce(F.col("r.nextPageToken"), F.lit("")) == "").alias("ends"),
-        F.bool_and(F.col("metrics").isNotNull()).alias("known"), F.bool_and("range_ok").alias("range_ok"), F.bool_and("rows_ok").alias("rows_ok"),
-        F.bool_and(F.coalesce(known_zone(F.col("zone")), F.lit(False))).alias("zone_ok"),
+        F.bool_and(F.col("metrics").isNotNull()).alias("known"), F.bool_and("range_ok").alias("range_ok"), F.bool_and("rows_ok").alias("rows_ok"), F.bool_and("hours_ok").alias("hours_ok"),
+        F.bool_and("zone_ok").alias("zone_ok"),
     )
     whole = (F.col("ends") == 1) & (F.col("pages") == F.col("last_page") - F.col("first_page") + 1)
     reason = either(
         (~F.col("known"), "UNKNOWN_DEFINITION"), (~F.col("zone_ok"), "TIME_ZONE"),
         (~(whole & F.col("low").eqNullSafe(F.col("row_count")) & F.col("high").eqNullSafe(F.col("row_count"))), "PARTIAL_RESULT"),
         (~F.col("range_ok"), "DATE_RANGE"), (F.col("row_count") > MAX_ROWS["GAM"], "ROW_BOUND"), (~F.col("rows_ok"), "ROW_VALUE"),
+        (~F.col("hours_ok"), "NONEXISTENT_HOUR"),
     )
     good, rejected = _split(results, reason, "result_id")
     long = marked.join(good.select("result_id"), "result_id").select(
@@ -233,8 +240,7 @@ def gam_points(pages: DataFrame, networks: DataFrame, definitions: DataFrame) ->
         zone.alias("zone"), "run_date", F.explode("rows").alias("row"),
     )
     row = F.col("row")
-    local = F.to_timestamp(local_day(row)) + F.make_dt_interval(hours=hour(row))
-    timed = long.withColumn("span", Z.ad_server_hour(local, F.col("zone"))).withColumn("day", local_day(row))
+    timed = long.withColumn("span", Z.ad_server_hour(wall(row), F.col("zone"))).withColumn("day", local_day(row))
     named = F.array_join(
         F.array_sort(F.array(dimension_text(F.col("dimensions"), F.transform(row["dimensionValues"], text)),
                              F.concat(F.lit("network_code="), "network_code"), F.concat(F.lit("currency_code="), "currency_code"))), "|",
@@ -245,15 +251,11 @@ def gam_points(pages: DataFrame, networks: DataFrame, definitions: DataFrame) ->
         .withColumn("m", F.explode(F.arrays_zip(F.col("metrics").alias("def"), row["metricValueGroups"][0]["primaryValues"].alias("val"))))
         .select(
             "result_id", "source", "definition", "semantics_version", "granularity", F.col("m.def.metric_code").alias("metric_code"),
-            F.col("m.def.unit").alias("unit"), "dimension_text", "span.period_start", "span.period_end", "span.ambiguous", "span.nonexistent", value.alias("value"),
+            F.col("m.def.unit").alias("unit"), "dimension_text", "span.period_start", "span.period_end", "span.ambiguous", value.alias("value"),
             F.when(F.col("day") >= F.date_sub("run_date", 1), "PRELIMINARY").otherwise("MATURE").alias("freshness"),
         )
     )
-    # A skipped local hour invalidates the whole result.
-    skipped = points.where("nonexistent").select("result_id").distinct()
-    return points.drop("nonexistent").join(skipped, "result_id", "left_anti"), rejected.unionByName(
-        skipped.withColumn("reason", F.lit("NONEXISTENT_HOUR"))
-    )
+    return points, rejected
 
 
 def inspection_rows(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
