@@ -111,5 +111,5 @@ def test_drilldown_budget_matches_a_sequential_fold(spark):
             per_day[(conn, day)] = per_day.get((conn, day), 0) + 1
         want[(conn, inv, key)] = verdict
     asked = spark.createDataFrame(rows, "connection_id INT, investigation_id INT, request_key STRING, seq BIGINT, day STRING")
-    got = {(r[0], r[1], r[2]): r["verdict"] for r in H.drilldown_budget(asked, 30).collect()}
+    got = {(r[0], r[1], r[2]): r["verdict"] for r in H.drilldown_budget(asked, 50).collect()}
     assert got == want and len(set(want.values())) == 3

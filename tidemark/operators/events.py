@@ -36,30 +36,26 @@ def window_status(windows: DataFrame, runs: DataFrame, final: tuple[str, ...]) -
 COHORT = ["window_id", "template_id", "scenario_id"]
 
 
-def noindex_cohort(pairs: DataFrame, min_affected: int = 2, min_valid: int = 2) -> DataFrame:
-    """Template events where enough URLs gained noindex, else one event per affected URL.
+def noindex_cohort(pairs: DataFrame) -> DataFrame:
+    """Template events where two or more URLs gained noindex, else one event for the single one.
 
-    Pairs: cohort keys, url_id, run_id, affected, previous_at, current_at; valid count = rows.
+    Pairs: cohort keys, url_id, run_id, affected, previous_at, current_at; valid count = rows.  A
+    cohort with two affected rows always has two valid ones, so what stays single is one row per
+    cohort and the aggregate itself carries it: no join back to the pairs.
     """
+    hit = F.struct("run_id", "previous_at", "current_at")
     groups = pairs.groupBy(*COHORT).agg(
-        F.count_if("affected").alias("affected_count"),
-        F.count("*").alias("valid_count"),
+        F.count_if("affected").alias("hits"), F.count("*").alias("rows"), F.min(F.when(F.col("affected"), hit)).alias("single"),
         F.min(F.when(F.col("affected"), F.col("previous_at"))).alias("occurred_after"),
         F.max(F.when(F.col("affected"), F.col("current_at"))).alias("detected_at"),
     )
-    wide = (F.col("affected_count") >= min_affected) & (F.col("valid_count") >= min_valid)
-    template = groups.where(wide).select(
-        *COHORT, F.lit(None).cast("bigint").alias("run_id"), F.lit("rendered-template").alias("subject"),
-        F.when(F.col("affected_count") >= min_affected, "CRITICAL").otherwise("MEDIUM").alias("severity"),
-        "affected_count", "valid_count", "occurred_after", "detected_at",
+    wide = F.col("hits") >= 2
+    one = F.lit(1).cast("bigint")
+    return groups.where("hits > 0").select(
+        *COHORT, F.when(~wide, F.col("single.run_id")).alias("run_id"), F.when(wide, "rendered-template").otherwise("rendered-page").alias("subject"),
+        F.when(wide, "CRITICAL").otherwise("MEDIUM").alias("severity"), F.when(wide, F.col("hits")).otherwise(one).alias("affected_count"),
+        F.when(wide, F.col("rows")).otherwise(one).alias("valid_count"), "occurred_after", "detected_at",
     )
-    narrow = groups.where(~wide & (F.col("affected_count") > 0)).select(*COHORT)
-    singles = pairs.where("affected").join(narrow, COHORT).select(
-        *COHORT, "run_id", F.lit("rendered-page").alias("subject"), F.lit("MEDIUM").alias("severity"),
-        F.lit(1).cast("bigint").alias("affected_count"), F.lit(1).cast("bigint").alias("valid_count"),
-        F.col("previous_at").alias("occurred_after"), F.col("current_at").alias("detected_at"),
-    )
-    return template.unionByName(singles)
 
 
 def slot_cohort(slots: DataFrame, min_affected: int = 2, min_valid: int = 2, critical: int = 3) -> DataFrame:

@@ -222,7 +222,7 @@ def cls_sessions(shifts: DataFrame, keys: list[str]) -> DataFrame:
     """Largest session per page load.  Shifts: keys, t (ms within the load), v.
 
     Shifts of one instant always share a session, so they are summed first: what is collected
-    is at most one entry per millisecond of the load, however many rows there are.
+    is at most one entry per time unit of one page load, however many rows there are.
     """
     instants = shifts.groupBy(*keys, "t").agg(F.sum("v").alias("v"))
     sample = F.struct(F.col("t").cast("double").alias("t"), F.col("v").alias("v"))

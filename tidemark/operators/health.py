@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.catalogs import (
     BROWSER_STALE_HOURS,
@@ -17,7 +18,7 @@ from tidemark.catalogs import (
 )
 from tidemark.functions.numbers import mem_to_mib
 from tidemark.functions.shape import either
-from tidemark.operators.ordered import exact_percentiles, first_per_key, top_n
+from tidemark.operators.ordered import exact_percentiles, first_per_key, ordinal, top_n
 
 HOUR_S = 3600
 
@@ -203,23 +204,26 @@ def open_incident_count(incidents: DataFrame) -> DataFrame:
     return incidents.where(F.col("status").isin(*OPEN_INCIDENT_STATUSES)).groupBy("tenant").agg(F.count("*").alias("open_incidents"))
 
 
-def drilldown_budget(requests: DataFrame, max_days: int = 400) -> DataFrame:
+def drilldown_budget(requests: DataFrame, bucket_width: int = 1_000_000) -> DataFrame:
     """Accept or refuse each distinct request in arrival order under both budgets.
 
-    Requests: connection_id, investigation_id, request_key, seq, day.  A refused request uses no
-    budget, so acceptance is a fold over a connection.  What can be accepted is cut down first,
-    exactly: a fifth request of one investigation on one day never passes, and by day d at most
-    2d investigations can be used up, so only the first 8 + 8d survivors of that day can matter.
-    The fold then reads a bounded number of rows per connection; all other requests are refused
-    and get their reason by a join.
+    Requests: connection_id, investigation_id, request_key, seq, day; seq grows with the day.  A
+    refused request uses no budget, so acceptance is a fold over a connection.  What can be
+    accepted is cut down first, exactly: a fifth request of one investigation on one day never
+    passes, and before the d-th day of a connection at most 2(d - 1) investigations can be used
+    up, each holding back at most four requests of that day, so only the first 8 + 8(d - 1) of
+    them can matter.  The fold then reads a number of rows per connection that depends on its
+    days alone; all other requests are refused and get their reason by a join.
     """
     per_inv, per_day = DRILLDOWNS_PER_INVESTIGATION, DRILLDOWNS_PER_CONNECTION_DAY
-    own = ["connection_id", "investigation_id"]
+    own, of_day = ["connection_id", "investigation_id"], ["connection_id", "day"]
     once = requests.groupBy(*own, "request_key").agg(F.min(F.struct("seq", "day")).alias("first")).select(
         *own, "request_key", F.col("first.seq").alias("seq"), F.col("first.day").alias("day")
     )
     few = top_n(once, [*own, "day"], [F.col("seq")], per_inv).drop("_rn")
-    few = top_n(few, ["connection_id", "day"], [F.col("seq")], per_day + per_day * max_days).drop("_rn")
+    days = once.select(*of_day).distinct().withColumn("_d", F.row_number().over(Window.partitionBy("connection_id").orderBy("day")))
+    placed = ordinal(few, of_day, ["seq"], "_no", F.floor(F.col("seq") / bucket_width)).join(days, of_day)
+    few = placed.where(F.col("_no") <= per_day + per_day * (F.col("_d") - 1)).select(*once.columns)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")

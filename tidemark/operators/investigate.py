@@ -178,14 +178,15 @@ def rank_hypotheses(candidates: DataFrame) -> DataFrame:
 
 
 def replace_ranked(ranked: DataFrame, existing: DataFrame) -> DataFrame:
-    """What replacing the stored set of each ranked incident does: UPSERT, and DELETE of stale keys."""
+    """What replacing the stored set of each ranked incident does: UPSERT, and DELETE of stale keys.
+
+    One union and one grouping; the keys of an incident are few by vocabulary.
+    """
     keys = ["incident_id", "hypothesis_key"]
-    stale = existing.select(*keys).join(ranked.select("incident_id").distinct(), "incident_id", "left_semi").join(
-        ranked.select(*keys), keys, "left_anti"
-    )
-    return ranked.select(*keys, "rank", F.lit("UPSERT").alias("action")).unionByName(
-        stale.select(*keys, F.lit(None).cast("int").alias("rank"), F.lit("DELETE").alias("action"))
-    )
+    both = ranked.select(*keys, "rank").unionByName(existing.select(*keys, F.lit(None).cast("int").alias("rank")))
+    merged = both.groupBy(*keys).agg(F.max("rank").alias("rank"))
+    touched = merged.withColumn("_top", F.max("rank").over(Window.partitionBy("incident_id"))).where(F.col("_top").isNotNull())
+    return touched.select(*keys, "rank", F.when(F.col("rank").isNull(), "DELETE").otherwise("UPSERT").alias("action"))
 
 
 def evidence_by_hypothesis(hypotheses: DataFrame, evidence: DataFrame, bucket_width: int = 1_000_000) -> DataFrame:
