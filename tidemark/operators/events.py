@@ -81,8 +81,14 @@ def slot_cohort(slots: DataFrame, min_affected: int = 2, min_valid: int = 2, cri
     return groups.withColumn("action", action).where(F.col("action").isNotNull()).withColumn("severity", severity)
 
 
+def in_complete_windows(pairs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Cohorts are only judged once their window is complete.  Windows: site, scheduled_for, window_status."""
+    complete = windows.where(F.col("window_status") == "COMPLETE").select("site", "scheduled_for")
+    return pairs.join(complete, ["site", "scheduled_for"], "left_semi")
+
+
 def pending_without_cohort(pending: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Local pending candidates whose code the cohort of their window did not emit."""
+    """Local pending candidates whose code no cohort of their window emitted, whatever its action."""
     emitted = cohort.select("window_id", "code").distinct()
     return pending.join(emitted, ["window_id", "code"], "left_anti")
 

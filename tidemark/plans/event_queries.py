@@ -107,39 +107,41 @@ def gained_noindex():
 
 def cohort_pairs(t):
     return usable(t).select(
-        C("scheduled_for").alias("window_id"), "template_id", "scenario_id", "url_id", "run_id", gained_noindex().alias("affected"),
-        C("prev_completed_at").alias("previous_at"), C("cur_completed_at").alias("current_at"),
+        "site", "scheduled_for", F.concat_ws("@", C("site").cast("string"), ts_text("scheduled_for")).alias("window_id"), "template_id", "scenario_id", "url_id", "run_id",
+        gained_noindex().alias("affected"), C("prev_completed_at").alias("previous_at"), C("cur_completed_at").alias("current_at"),
     )
 
 
-SQL_NOINDEX = """WITH v AS (SELECT scheduled_for AS window_id, template_id, scenario_id, url_id, run_id, prev_at, cur_at,
+def complete_cohort(t):
+    windows = E.window_status(t.wwindows, t.wruns, FINAL_RUN_STATUSES)
+    return E.noindex_cohort(E.in_complete_windows(cohort_pairs(t), windows))
+
+
+SQL_NOINDEX = """WITH v AS (SELECT site, scheduled_for, concat(site, '@', TS(scheduled_for)) AS window_id, template_id, scenario_id, url_id, run_id, prev_at, cur_at,
         coalesce(cm LIKE '%NoIndex%', false) AND NOT coalesce(pm LIKE '%NoIndex%', false) AS affected FROM {judged} WHERE skips = ''),
-    g AS (SELECT window_id, template_id, scenario_id, count(*) FILTER (affected) AS a, count(*) AS n, min(prev_at) FILTER (affected) AS oa,
-        max(cur_at) FILTER (affected) AS da FROM v GROUP BY 1, 2, 3),
+    g AS (SELECT site, scheduled_for, window_id, template_id, scenario_id, count(*) FILTER (affected) AS a, count(*) AS n, min(prev_at) FILTER (affected) AS oa,
+        max(cur_at) FILTER (affected) AS da FROM v GROUP BY 1, 2, 3, 4, 5),
     cohort AS (SELECT window_id, template_id, scenario_id, NULL::BIGINT AS run_id, 'rendered-template' AS subject, 'CRITICAL' AS severity, B(a) AS affected_count,
         B(n) AS valid_count, oa, da FROM g WHERE a >= 2 AND n >= 2
       UNION ALL SELECT v.window_id, v.template_id, v.scenario_id, v.run_id, 'rendered-page', 'MEDIUM', 1, 1, v.prev_at, v.cur_at
-        FROM v JOIN g USING (window_id, template_id, scenario_id) WHERE v.affected AND NOT (g.a >= 2 AND g.n >= 2))"""
+        FROM v JOIN g USING (window_id, template_id, scenario_id) WHERE v.affected AND NOT (g.a >= 2 AND g.n >= 2)),
+    done AS (SELECT site, scheduled_for FROM {wruns} GROUP BY 1, 2 HAVING count(*) FILTER (status <> 'COMPLETE') = 0)"""
 
 
-@query("noindex_cohort", SQL_NOINDEX + """ SELECT TS(window_id) AS window_id, B(template_id) AS template_id, B(scenario_id) AS scenario_id, run_id, subject, severity,
+@query("noindex_cohort", SQL_NOINDEX + """ SELECT window_id, B(template_id) AS template_id, B(scenario_id) AS scenario_id, B(run_id) AS run_id, subject, severity,
     affected_count, valid_count, TS(oa) AS occurred_after, TS(da) AS detected_at FROM cohort""")
 def noindex_cohort(t):
     return E.noindex_cohort(cohort_pairs(t)).select(
-        ts_text("window_id").alias("window_id"), big("template_id").alias("template_id"), big("scenario_id").alias("scenario_id"), "run_id", "subject",
+        "window_id", big("template_id").alias("template_id"), big("scenario_id").alias("scenario_id"), "run_id", "subject",
         "severity", "affected_count", "valid_count", ts_text("occurred_after").alias("occurred_after"), ts_text("detected_at").alias("detected_at"),
     )
 
 
-@query("noindex_pending", SQL_NOINDEX + """ SELECT B(run_id) AS run_id, TS(window_id) AS window_id FROM v WHERE affected
-    AND (window_id, template_id) NOT IN (SELECT (window_id, template_id) FROM cohort WHERE subject = 'rendered-template')""")
+@query("noindex_pending", SQL_NOINDEX + """ SELECT B(run_id) AS run_id, window_id FROM v WHERE affected AND NOT EXISTS (SELECT 1 FROM done d WHERE d.site = v.site AND d.scheduled_for = v.scheduled_for)""")
 def noindex_pending(t):
-    base = cohort_pairs(t)
-    scope = F.concat_ws(":", ts_text("window_id"), C("template_id").cast("string"))
-    # The window of a pending candidate is the cohort it would have been promoted in.
-    pending = base.where("affected").select("run_id", C("window_id").alias("at"), scope.alias("window_id"), F.lit("NOINDEX_ADDED").alias("code"))
-    cohort = E.noindex_cohort(base).where(C("subject") == "rendered-template").select(scope.alias("window_id"), F.lit("NOINDEX_ADDED").alias("code"))
-    return E.pending_without_cohort(pending, cohort).select("run_id", ts_text("at").alias("window_id"))
+    code = F.lit("NOINDEX_ADDED").alias("code")
+    pending = cohort_pairs(t).where("affected").select("run_id", "window_id", code)
+    return E.pending_without_cohort(pending, complete_cohort(t).select("window_id", code)).select("run_id", "window_id")
 
 
 SQL_PRESENCE = """WITH u AS (SELECT p.snapshot_id, m.member, true AS c, false AS v FROM {pairs} p JOIN {members} m ON m.snapshot_id = p.snapshot_id WHERE p.previous_id IS NOT NULL
@@ -276,10 +278,11 @@ def slot_cohort(t):
 
 
 @query("slot_pending", SQL_SLOTS + """ SELECT B(snapshot_id) AS snapshot_id, slot FROM s WHERE NOT present AND previous_present
-    AND (window_id, template_id, scenario_id) NOT IN (SELECT (window_id, template_id, scenario_id) FROM acted WHERE action IS NOT NULL)""")
+    AND (window_id, template_id) NOT IN (SELECT (window_id, template_id) FROM acted WHERE action IS NOT NULL)""")
 def slot_pending(t):
     base = slot_pairs(t)
-    scope = F.concat_ws(":", ts_text("window_id"), C("template_id").cast("string"), C("scenario_id").cast("string"))
+    # A window is one month of one country here.
+    scope = F.concat_ws(":", ts_text("window_id"), C("template_id").cast("string"))
     code = F.lit("GPT_EXPECTED_SLOT_MISSING").alias("code")
     pending = base.where(~C("present") & C("previous_present")).select("snapshot_id", "slot", scope.alias("window_id"), code)
     cohort = E.slot_cohort(base).select(scope.alias("window_id"), code)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -44,13 +45,15 @@ def apply_job_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the checkpoint folder the cluster names.
 
-    Only when the session names none (tests on one machine) a temporary folder is used.
+    Only where the session names none (tests on one machine) a temporary folder stands in.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import canonical_hash
@@ -63,11 +63,13 @@ def snapshot_append(snapshots: DataFrame, existing: DataFrame) -> DataFrame:
     return once.join(existing.select("observation_key"), "observation_key", "left_anti")
 
 
-def write_ranked(ranked: DataFrame, path: str) -> None:
-    """Replace the stored ranking of exactly the incident buckets being written.
+def write_ranked(ranked: DataFrame, path: str, version: int) -> None:
+    """Store the ranking of the given incidents as one version; writing a version again replaces it."""
+    ranked.write.mode("overwrite").parquet(f"{path}/version={version}")
 
-    Every bucket written must hold all its incidents; other buckets stay as they are.
-    """
-    ranked.withColumn("bucket", F.pmod(F.xxhash64("incident_id"), F.lit(1024))).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("bucket").parquet(path)
+
+def read_ranked(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Current ranking: of each incident the set of its newest version, so stale keys are gone."""
+    stored = spark.read.schema(schema + ", version BIGINT").parquet(path)
+    newest = stored.groupBy("incident_id").agg(F.max("version").alias("version"))
+    return stored.join(newest, ["incident_id", "version"], "left_semi").drop("version")
