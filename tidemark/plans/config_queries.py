@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.shape import big
 from tidemark.operators import config_text as K
 from tidemark.operators.ordered import carry_previous, time_bucket
 from tidemark.plans.lake import frame

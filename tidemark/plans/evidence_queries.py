@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import urls as U
-from tidemark.functions.shape import big, r6, ts_text
+from tidemark.functions.shape import r6
 from tidemark.operators import evidence as V
 from tidemark.plans.lake import frame
 from tidemark.plans.registry import query

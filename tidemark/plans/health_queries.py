@@ -8,7 +8,6 @@ from tidemark.functions.shape import big, r6, ts_text
 from tidemark.operators import events as E
 from tidemark.operators import health as H
 from tidemark.operators import retention as R
-from tidemark.operators.ordered import first_per_key
 from tidemark.plans.event_queries import SQL_RELIABLE
 from tidemark.plans.registry import query
 

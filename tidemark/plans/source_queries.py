@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.shape import big, ts_text
-from tidemark.operators import metrics as M
+from tidemark.functions.shape import ts_text
 from tidemark.plans.registry import query
 from tidemark.sources import definitions as D
 from tidemark.sources import reports as P
