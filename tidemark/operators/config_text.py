@@ -14,7 +14,7 @@ from tidemark.catalogs import ADS_CONDITION_CODES, HEALTHY_CONFIG_STATUSES
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.functions.shape import either
-from tidemark.operators.ordered import latest_before
+from tidemark.operators.ordered import DAY, latest_before
 
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 # --- fixed values: seller file directives and bounds ------------------------------------------
@@ -240,7 +240,7 @@ def config_outcome(fetches: DataFrame) -> DataFrame:
     )
 
 
-def config_predecessors(snapshots: DataFrame, bucket_s: int = 365 * 86_400) -> DataFrame:
+def config_predecessors(snapshots: DataFrame, bucket_s: int = DAY) -> DataFrame:
     """Adds previous, healthy and condition predecessors and the effective previous snapshot.
 
     Snapshots: snapshot_id, site, config_type, observed_at, parse_status, fetch_kind,

@@ -10,7 +10,7 @@ from tidemark.functions.numbers import severity_name, severity_rank
 from tidemark.functions.shape import either
 from tidemark.operators.ordered import carry_previous, first_per_key, running_count, time_bucket
 
-YEAR = 365 * 86_400
+
 
 
 def window_status(windows: DataFrame, runs: DataFrame, final: tuple[str, ...]) -> DataFrame:
@@ -113,7 +113,7 @@ def condition_lifecycle(
     """
     once = first_per_key(actions, [*keys, "run_id"], [F.col(c) for c in order])
     once = once.withColumn("_state", F.when(F.col("action") != "SUPPORT", F.col("action")))
-    bucket = time_bucket("at", YEAR) if bucket is None else bucket
+    bucket = time_bucket("at") if bucket is None else bucket
     seen = carry_previous(once, keys, order, "_state", "_before", bucket)
     active = F.coalesce(F.col("_before") == "UPSERT", F.lit(False))
     opens = (F.col("action") == "UPSERT") & ~active

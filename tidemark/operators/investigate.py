@@ -244,7 +244,7 @@ def evidence_pack(
     spans = incidents.select("incident_id", "site", "window_end", F.explode(asks).alias("_ask")).select(
         F.concat_ws(":", F.col("incident_id").cast("string"), "_ask.section").alias("span_id"), "incident_id", "site", "window_end", "_ask.*"
     )
-    heads = window_head(spans, facts, ["site", "section"], "span_id", "since", "window_end", "at", "id", "n", bucket_s=7 * 86_400)
+    heads = window_head(spans, facts, ["site", "section"], "span_id", "since", "window_end", "at", "id", "n")
     rows = heads.join(spans.select("span_id", "incident_id"), "span_id").select("incident_id", "section", "position", "entry")
     sizes = rows.groupBy("incident_id").agg(F.sum(F.octet_length("entry") + 3).alias("_bytes"))
     small = sizes.where(F.col("_bytes") <= PACK_BYTES).select("incident_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalogs import FINAL_RUN_STATUSES, VALID_RUN_STATUSES
 from tidemark.functions.shape import either
-from tidemark.operators.ordered import carry_previous, latest_before, time_bucket, top_n
+from tidemark.operators.ordered import DAY, carry_previous, latest_before, time_bucket, top_n
 
 COMPONENTS = ("scripts", "network", "javascript_errors", "seo")
 FAR = "9999-12-31 00:00:00"
@@ -18,7 +18,7 @@ def scheduled_cohort(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("observation_kind") == "SCHEDULED")
 
 
-def previous_comparable(runs: DataFrame, bucket_s: int = 30 * 86_400) -> DataFrame:
+def previous_comparable(runs: DataFrame, bucket_s: int = 30 * DAY) -> DataFrame:
     """Latest earlier final scheduled run of the scenario: same URL first, else same template.
 
     Runs: run_id, site, url_id, template_id, scenario_id, scheduled_for, completed_at, status,
@@ -88,7 +88,7 @@ def pair_validity(pairs: DataFrame) -> DataFrame:
     ).drop("_reason")
 
 
-def previous_snapshot(snapshots: DataFrame, keys: list[str], bucket_s: int = 365 * 86_400) -> DataFrame:
+def previous_snapshot(snapshots: DataFrame, keys: list[str], bucket_s: int = DAY) -> DataFrame:
     """Adds previous_* of the snapshot just before (at, snapshot_id) of the same key."""
     carried = [c for c in snapshots.columns if c not in keys]
     packed = snapshots.withColumn("_me", F.struct(*carried))

@@ -217,7 +217,7 @@ def fractional_change(intervals: DataFrame, keys: list[str]) -> DataFrame:
     packed = intervals.withColumn(
         "_me", F.struct("period_start", "period_end", "value", "freshness")
     )
-    found = carry_previous(packed, keys, ["period_start"], "_me", "_prev", time_bucket("period_start", 30 * 86_400))
+    found = carry_previous(packed, keys, ["period_start"], "_me", "_prev", time_bucket("period_start"))
     contiguous = F.col("_prev.period_end") <= F.col("period_start")
     found = found.where(F.col("_prev").isNotNull() & contiguous)
     bad = (F.col("value") < 0) | (F.col("_prev.value") < 0)

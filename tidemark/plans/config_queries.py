@@ -93,7 +93,7 @@ frame(
 def validations(t):
     """A validation fetch checks the preceding order of the same customer."""
     owned = t.orders.select(C("o_orderkey").alias("snapshot_id"), "o_custkey", "o_orderdate", C("o_orderkey").alias("self"))
-    before = carry_previous(owned, ["o_custkey"], ["o_orderdate", "snapshot_id"], "self", "validation_of", time_bucket("o_orderdate", 365 * 86_400))
+    before = carry_previous(owned, ["o_custkey"], ["o_orderdate", "snapshot_id"], "self", "validation_of", time_bucket("o_orderdate"))
     checks = t.configs.where(C("fetch_kind") == "VALIDATION").join(before.select("snapshot_id", "validation_of"), "snapshot_id")
     return checks.where(C("validation_of").isNotNull()).withColumnRenamed("snapshot_id", "validation_id")
 

@@ -177,7 +177,7 @@ def config_record_diff(t):
 def error_transitions(t):
     two = pairs(t).select("snapshot_id", "url_id", "at", "previous_id", "previous_at", "previous_run_status")
     two = two.withColumn("_p", F.struct(C("previous_id").alias("id"), C("previous_at").alias("at"), C("previous_run_status").alias("status")))
-    tri = carry_previous(two, ["url_id"], ["at", "snapshot_id"], "_p", "_q", time_bucket("at", 365 * 86_400))
+    tri = carry_previous(two, ["url_id"], ["at", "snapshot_id"], "_p", "_q", time_bucket("at"))
     comparable = F.coalesce((C("_q.status") != "P") & (C("_q.at") < C("previous_at")), F.lit(False))
     triples = tri.select("snapshot_id", "previous_id", C("_q.id").alias("prior_id"), comparable.alias("prior_comparable"))
     return L.error_transitions(triples, t.errors)
