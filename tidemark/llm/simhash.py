@@ -149,7 +149,9 @@ def links(spark: SparkSession, distinct: DataFrame, slice_rows: int = SLICE_ROWS
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    return paired.repartition(*cut).sortWithinPartitions(*cut).mapInPandas(compare, "a long, b long")
+    # A fixed number: comparisons are small in bytes and long in time, so their partitions are not to be merged.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return paired.repartition(parts, *cut).sortWithinPartitions(*cut).mapInPandas(compare, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3) -> DataFrame:
