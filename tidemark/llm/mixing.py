@@ -50,11 +50,15 @@ def budgets(leaves: DataFrame, weights: dict[str, Column], share_percent: int, m
     """leaves (domain, lang, source, avail) with `given`, from a budget of share_percent of all available tokens."""
     caps = leaves.withColumn("cap", F.col("avail") * max_epochs)
     parents: list[str] = []
-    # The budget is one row.
-    held = caps.agg(F.expr(f"sum(avail) * {int(share_percent)} div 100").alias("budget"))
+    held = None
     for level in LEVELS:
         nodes = caps.groupBy(*parents, level).agg(F.sum("cap").alias("cap"), F.sum("avail").alias("avail"))
-        nodes = nodes.join(held, parents) if parents else nodes.join(held, F.lit(True))
+        if parents:
+            nodes = nodes.join(held, parents)
+        else:
+            # The root's children are one row per domain.
+            total = F.sum("avail").over(Window.partitionBy(F.lit(0)))
+            nodes = nodes.withColumn("total", total).withColumn("budget", F.expr(f"total * {int(share_percent)} div 100")).drop("total")
         given = shared(nodes, parents, level, weights[level])
         parents = [*parents, level]
         held = given.select(*parents, F.col("given").alias("budget"))
