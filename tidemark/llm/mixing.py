@@ -16,6 +16,7 @@ LEVELS = ("domain", "lang", "source")
 NONE = "(none)"
 # Hex digits of the hash that name a bin.
 BIN_DIGITS = 3
+SALTS = 64
 
 
 def token_count(text: Column) -> Column:
@@ -80,7 +81,10 @@ def mixed(docs: DataFrame, domain: Column, weights: dict[str, Column], seed: int
     part = F.least(F.greatest(F.col("given") - F.col("epoch") * F.col("avail"), F.lit(0)), F.col("avail"))
     epochs = epochs.withColumn("part", part).where("part > 0")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))
-    placed = rows.join(epochs, leaf).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), name)))
+    # A hot leaf's rows are dealt over SALTS keys; the other side is a few rows per leaf.
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)))
+    epochs = epochs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    placed = salted.join(epochs, [*leaf, "salt"]).drop("salt").withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), name)))
     whole = placed.where("part = avail").withColumn("n_taken", F.col("n_tokens"))
     cut = placed.where("part < avail").withColumn("bin", F.substring("h", 1, BIN_DIGITS))
     key = [*leaf, "epoch", "bin"]
