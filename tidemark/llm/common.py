@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import work_folder
 
+# Session settings that bound what a Python worker holds at once, where the cluster has set none.
+BATCH_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,6 +25,15 @@ def stored(spark: SparkSession, frame: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def in_batches(frame: DataFrame, function: Callable, schema) -> DataFrame:
+    """mapInPandas in Arrow batches small enough for whole texts: fewer rows, and fewer bytes where Spark bounds those."""
+    conf = frame.sparkSession.conf
+    for key, most in BATCH_BOUNDS.items():
+        if conf.get(key, None) is None:
+            conf.set(key, str(most))
+    return frame.mapInPandas(function, schema)
+
+
 def sorted_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Cut a stream sorted by keys into whole groups; holds one group and one batch at a time."""
     held: list[pd.DataFrame] = []

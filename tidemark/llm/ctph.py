@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import in_batches
+
 ROLL = 7
 LEAST_BLOCK = 3
 SIGNATURE = 64
@@ -138,6 +140,6 @@ def fingerprints(docs: DataFrame, parts: int) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
             yield out.astype({"doc_id": "Int64", "n_chars": "int64"})
 
-    return ordered_pairs(docs, parts).mapInPandas(
-        rate, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return in_batches(
+        ordered_pairs(docs, parts), rate, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import in_batches, stored
 
 WINDOW_WORDS = 10
 BLOCK_BYTES = 8_000_000
@@ -99,9 +99,9 @@ def scan_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, w
     empty = F.array().cast("array<int>")
     frame = base.withColumns({"n_words": F.lit(0).cast("long"), **{c: empty for c in added[1:5]}, "item_ids": F.array().cast("array<string>")})
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).distinct()
+        part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block).distinct()
         held = spark.sparkContext.broadcast([(r.name, r.text) for r in part.collect()])
-        frame = frame.mapInPandas(_pass(held, width), frame.schema)
+        frame = in_batches(frame, _pass(held, width), frame.schema)
         if blocks > 1:
             frame = stored(spark, frame, "benchmark-hits")
     return frame

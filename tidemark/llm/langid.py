@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import in_batches
+
 UNDETERMINED = "und"
 WINDOW_BYTES = 128
 WIDTHS = (2, 3, 4)
@@ -176,7 +178,7 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
                 names[pick], scores[pick] = score_texts(net, frame["text"].iloc[pick].tolist())
             yield frame.assign(lang_pred=names, score=scores)
 
-    return rated.mapInPandas(rate, schema)
+    return in_batches(rated, rate, schema)
 
 
 def held_out(doc_id="doc_id"):

@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import in_batches
+
 SHINGLE = 5
 BANDS = 16
 CONTAINMENT = 0.8
@@ -134,4 +136,4 @@ def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, bands:
             yield pd.DataFrame(rows, columns=["doc_id", "license", "start_word", "end_word", "containment"])
 
     columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return columns.mapInPandas(scan, "doc_id long, license string, start_word long, end_word long, containment double")
+    return in_batches(columns, scan, "doc_id long, license string, start_word long, end_word long, containment double")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, sorted_groups, stored
+from tidemark.llm.common import components, in_batches, sorted_groups, stored
 
 RADIUS = 2
 SLICE_ROWS = 2048
@@ -53,7 +53,7 @@ def with_fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
             values = np.array([fingerprint(t, width) for t in frame["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": values})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(mark, "doc_id long, fp long")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), mark, "doc_id long, fp long")
 
 
 def planes(values: np.ndarray) -> np.ndarray:

@@ -11,13 +11,14 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import in_batches, stored
 
 MAGIC = b"TWM1"
 END_ID = 1
@@ -130,6 +131,7 @@ class WaveletMatrix:
         return word * 64 + int(np.flatnonzero(bits == bit)[k - int(ranks[word])])
 
 
+@cache
 def _encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -172,7 +174,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, shar
 
     columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = columns.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = ordered.mapInPandas(shards, "part long, seq long, n_tokens long, doc_ids array<long>, payload binary")
+    made = in_batches(ordered, shards, "part long, seq long, n_tokens long, doc_ids array<long>, payload binary")
     return stored(spark, made, "token-shards")
 
 
@@ -197,7 +199,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 )
 
     joined = shards.select("part", "seq", "doc_ids", "payload").join(index, ["part", "seq"])
-    return joined.select("base", "doc_ids", "payload").mapInPandas(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_batches(joined.select("base", "doc_ids", "payload"), documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
