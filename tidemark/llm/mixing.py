@@ -66,16 +66,16 @@ def budgets(leaves: DataFrame, weights: dict[str, Column], share_percent: int, m
     return given.select(*LEVELS, "avail", "given")
 
 
-def mixed(docs: DataFrame, domain: Column, weights: dict[str, Column], seed: int, share_percent: int, max_epochs: int) -> DataFrame:
+def mixed(docs: DataFrame, domain: Column, weights: dict[str, Column], seed: int, share_percent: int, max_epochs: int, carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, domain, lang, source, epoch, n_tokens, n_taken): the documents each leaf's budget reaches.
 
     n_taken is below n_tokens only for the document a leaf's budget ends in. A null domain, lang or source is its own node; a
     null text has no tokens; repeated rows are each counted; a leaf without tokens gives nothing; other columns
-    are ignored.
+    are ignored, but for those named in carried, which follow and break ties.
     """
     leaf = list(LEVELS)
-    rows = docs.select("doc_id", domain.alias("domain"), "lang", "source", token_count(F.col("text")).alias("n_tokens"))
-    rows = rows.select("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in leaf), "n_tokens")
+    rows = docs.select("doc_id", domain.alias("domain"), "lang", "source", token_count(F.col("text")).alias("n_tokens"), *carried)
+    rows = rows.select("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in leaf), "n_tokens", *carried)
     plan = budgets(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("avail")), weights, share_percent, max_epochs)
     epochs = plan.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
     part = F.least(F.greatest(F.col("given") - F.col("epoch") * F.col("avail"), F.lit(0)), F.col("avail"))
@@ -92,9 +92,9 @@ def mixed(docs: DataFrame, domain: Column, weights: dict[str, Column], seed: int
     bins = cut.groupBy(*key).agg(F.sum("n_tokens").alias("bin_tokens")).withColumn("before", before)
     cut = cut.join(bins, key).where("before < part")
     inside = cut.where("before + bin_tokens <= part").withColumn("n_taken", F.col("n_tokens"))
-    order = Window.partitionBy(*key).orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(*key).orderBy("h", "doc_id", "n_tokens", *carried).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = cut.where("before + bin_tokens > part")
     last = last.withColumn("before", F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens")).where("before < part")
     last = last.withColumn("n_taken", F.least("n_tokens", F.col("part") - F.col("before")))
-    columns = ["doc_id", *leaf, "epoch", "n_tokens", "n_taken"]
+    columns = ["doc_id", *leaf, "epoch", "n_tokens", "n_taken", *carried]
     return whole.select(columns).unionByName(inside.select(columns)).unionByName(last.select(columns))
