@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from importlib.resources import files
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ _WORD = re.compile(r"[a-z0-9]+")
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "MIT": "Released under the MIT License.",
@@ -36,6 +38,16 @@ TEMPLATES = {
 }
 
 
+# Full texts beside this module, by file name.
+TEXTS = {"Apache-2.0-text": "Apache-2.0", "BSD-3-Clause-text": "BSD", "GPL-3.0-text": "GPL-3", "MIT-full-text": "MIT", "MPL-2.0-text": "MPL-2.0"}
+
+
+def all_templates() -> dict[str, str]:
+    """Notices and full texts."""
+    folder = files("tidemark.llm").joinpath("license_texts")
+    return TEMPLATES | {name: folder.joinpath(file).read_text("utf-8") for name, file in TEXTS.items()}
+
+
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -76,6 +88,29 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(values) - width + 1], out[width - span :]) if span < width else out
 
 
+class _Held:
+    """Number of distinct wanted shingles in windows of one width, asked for in ascending order."""
+
+    def __init__(self, values: list[int], wanted: set[int], width: int):
+        self.values, self.wanted, self.width = values, wanted, width
+        self.start = self.stop = 0
+        self.counts: dict[int, int] = {}
+
+    def at(self, i: int) -> int:
+        if i >= self.stop:
+            self.start, self.stop, self.counts = i, i, {}
+        for value in self.values[self.stop : i + self.width]:
+            if value in self.wanted:
+                self.counts[value] = self.counts.get(value, 0) + 1
+        for value in self.values[self.start : i]:
+            if value in self.wanted:
+                self.counts[value] -= 1
+                if not self.counts[value]:
+                    del self.counts[value]
+        self.start, self.stop = i, i + self.width
+        return len(self.counts)
+
+
 class Matcher:
     """Templates with their band keys by window size."""
 
@@ -85,9 +120,10 @@ class Matcher:
         mul, add = _bands(bands)
         for name, text in templates.items():
             found = shingles(words(text), self.hashes)
-            if len(found):
-                keys = (found[None, :] * mul[:, None] + add[:, None]).min(axis=1)
-                self.by_size.setdefault(len(found), []).append((name, set(found.tolist()), keys))
+            if not len(found):
+                raise ValueError(f"the template {name} has fewer than {SHINGLE} words")
+            keys = (found[None, :] * mul[:, None] + add[:, None]).min(axis=1)
+            self.by_size.setdefault(len(found), []).append((name, set(found.tolist()), keys))
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(template, first word, word after the last, best containment), merged per template."""
@@ -98,9 +134,10 @@ class Matcher:
         for band in range(self.bands):
             permuted = all_shingles * mul[band] + add[band]
             for size, group in self.by_size.items():
-                if len(permuted) < size:
+                # A text shorter than the template is one window if it can hold the share at all.
+                if not len(permuted) or len(permuted) < self.containment * min(len(w) for _, w, _ in group):
                     continue
-                least = _least(permuted, size)
+                least = _least(permuted, min(size, len(permuted)))
                 for name, _, keys in group:
                     found = np.flatnonzero(least == keys[band])
                     if len(found):
@@ -109,11 +146,12 @@ class Matcher:
         for (name, size), places in hits.items():
             wanted = next(s for n, s, _ in self.by_size[size] if n == name)
             spans: list[list] = []
+            held = _Held(all_shingles.tolist(), wanted, min(size, len(all_shingles)))
             for i in sorted(places):
-                share = len(wanted.intersection(all_shingles[i : i + size].tolist())) / len(wanted)
+                share = held.at(i) / len(wanted)
                 if share < self.containment:
                     continue
-                end = i + size + SHINGLE - 1
+                end = min(i + size + SHINGLE - 1, len(tokens))
                 if spans and i <= spans[-1][1]:
                     spans[-1][1:] = [end, max(spans[-1][2], share)]
                 else:
@@ -122,12 +160,14 @@ class Matcher:
         return sorted(out)
 
 
-def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
+def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, license, start_word, end_word, containment) of every notice found.
 
     Null, empty and short texts give no rows; repeated rows give repeated results; other columns are ignored.
-    The templates are a parameter of the driver program, not a table, and so are small.
+    The templates are a parameter of the driver program, not a table, and so are small; without one, all_templates().
+    A template below five words is refused.
     """
+    templates = all_templates() if templates is None else templates
 
     def scan(frames):
         matcher = Matcher(templates, bands, containment)
