@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored
 
 FAN_OUT = 16
+# Digest of a null record; no SHA-256 reads so.
+NULL_RECORD = "null"
 
 
 def warc_record(url: Column, body: Column) -> Column:
@@ -29,13 +31,15 @@ def warc_record(url: Column, body: Column) -> Column:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(node, digest) of records (position, record). Rows at one position are hashed as a set with counts:
-    number, smallest, largest and summed hashes, so no position gathers its rows. Null positions are left out."""
-    sha = records.where("position IS NOT NULL").select("position", F.sha2("record", 256).alias("sha"))
+    """(node, digest) of records (position, record). Rows at one position are hashed as a set with counts: number, smallest,
+    largest and two sums of differently seeded hashes, so no position gathers its rows. A null record has a digest of its own.
+    Null positions are left out."""
+    sha = records.where("position IS NOT NULL").select("position", F.coalesce(F.sha2("record", 256), F.lit(NULL_RECORD)).alias("sha"))
+    sums = {k: F.sum(F.xxhash64(F.lit(k), "sha").cast("decimal(20,0)")) for k in ("x", "y")}
     agg = sha.groupBy("position").agg(
-        F.count("*").alias("n"), F.min("sha").alias("lo"), F.max("sha").alias("hi"), F.expr("bit_xor(xxhash64(sha))").alias("x")
+        F.count("*").alias("n"), F.min("sha").alias("lo"), F.max("sha").alias("hi"), *(v.cast("string").alias(k) for k, v in sums.items())
     )
-    many = F.sha2(F.concat_ws(":", F.col("n").cast("string"), "lo", "hi", F.col("x").cast("string")), 256)
+    many = F.sha2(F.concat_ws(":", F.col("n").cast("string"), "lo", "hi", "x", "y"), 256)
     return agg.select(F.col("position").alias("node"), F.when(F.col("n") == 1, F.col("lo")).otherwise(many).alias("digest"))
 
 
