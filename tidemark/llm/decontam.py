@@ -29,7 +29,7 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_LETTERS).split()
 
 
-def automaton(items: list[tuple[str, str | None]], width: int = WINDOW_WORDS):
+def automaton(items: list[tuple[str | None, str | None]], width: int = WINDOW_WORDS):
     """Automaton whose values are (item names, words in the window); None without any word."""
     owners: dict[bytes, set[str]] = {}
     sizes: dict[bytes, int] = {}
@@ -37,7 +37,8 @@ def automaton(items: list[tuple[str, str | None]], width: int = WINDOW_WORDS):
         found = words(text)
         for i in range(max(1, len(found) - width + 1) if found else 0):
             key = b" ".join(found[i : i + width])
-            owners.setdefault(key, set()).add(name)
+            # Windows of an unnamed item are hits without a name.
+            owners.setdefault(key, set()).update([] if name is None else [name])
             sizes[key] = min(width, len(found) - i)
     if not owners:
         return None
@@ -85,11 +86,11 @@ def hit_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]
 def scan_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, hit_starts, hit_stops (merged word ranges), span_starts, span_stops (code points), item_ids.
 
-    Null texts have no words; repeated rows are scanned alike; items without words or id are never found; an empty
-    benchmark hits nothing. Columns of docs pass unchanged unless they bear one of the added names.
+    Null texts have no words; repeated rows are scanned alike; items without words are never found; items without
+    id are hit but not named; an empty benchmark hits nothing. Columns of docs pass unchanged unless they bear one of the added names.
     """
     added = ["n_words", "hit_starts", "hit_stops", "span_starts", "span_stops", "item_ids"]
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("name"), "text")
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("name"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     longest = items.agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()[0]
     if longest > 16 * block_bytes:
