@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ctph, decontam, langid, licenses, linededup, mixing, runindex, simhash, warcaudit, wavelet
+from tidemark.llm import alignment, ctph, decontam, disclosure, langid, licenses, linededup, mixing, runindex, simhash, warcaudit, wavelet
 from tidemark.llm.common import table
 
 MIX_SEED = 42
@@ -170,6 +170,17 @@ SELECT doc_id, domain, lang, source, epoch, n_tokens, CAST(least(n_tokens, part
 FROM o WHERE before < part OR part = (SELECT a.avail FROM b3 a WHERE (a.domain, a.lang, a.source) = (o.domain, o.lang, o.source))
 """
 
+
+
+def op11_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digest(disclosure.sanitizing_spans(spark, table(spark, sf_dir, "documents")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.alignment(spark, docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).drop("groups")
+
+
 QUERIES = {
     "op1_run_index_dedup": op1_run_index_dedup,
     "op2_language_id": op2_language_id,
@@ -181,5 +192,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_wavelet_tokens": op9_wavelet_tokens,
     "op10_mixture": op10_mixture,
+    "op11_disclosure": op11_disclosure,
+    "op12_alignment": op12_alignment,
 }
 SQL = {"op3_line_dedup": SQL3, "op4_warc_audit": SQL4, "op8_decontamination": SQL8, "op10_mixture": SQL10}
