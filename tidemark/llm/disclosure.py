@@ -224,9 +224,9 @@ def _span_pass(held, general, with_text):
                         term, _, own, _ = kept.word(m[0], general)
                         if own:
                             places.append((term, *m.span()))
-                rows.append((row, None if pd.isna(doc_id) else int(doc_id), text if with_text else None, spans, places))
+                rows.append((row, doc_id, text if with_text else None, spans, places))
                 row += 1
-            yield pd.DataFrame(rows, columns=["row", "doc_id", "text", "base", "places"], dtype=object).astype({"row": "int64", "doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "text", "base", "places"], dtype=object)
 
     return run
 
@@ -283,11 +283,12 @@ def sanitizing_spans(spark: SparkSession, docs: DataFrame, alpha: float = ALPHA,
     long. Other columns of docs are ignored, whatever their names. row tells rows apart within one result; text is null
     unless asked for, and only rows with a candidate term are shuffled.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # Ids pass through pandas as strings: a null would turn a column of numbers into doubles.
+    docs = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string"))
     terms = stored(spark, disclosing_terms(spark, docs, alpha, near, general), "disclosing-terms")
     held = spark.sparkContext.broadcast(term_filter(terms.select("term")))
-    schema = f"row long, doc_id long, text string, base array<{SPAN}>, places array<struct<term: string, start: long, stop: long>>"
-    found = stored(spark, in_batches(docs, _span_pass(held, general, with_text), schema), "spans")
+    schema = f"row long, doc_id string, text string, base array<{SPAN}>, places array<struct<term: string, start: long, stop: long>>"
+    found = stored(spark, in_batches(docs, _span_pass(held, general, with_text), schema), "spans").withColumn("doc_id", F.col("doc_id").cast("long"))
     none = F.array().cast(f"array<{ADDED_SPAN}>")
     spots = found.select("row", F.explode("places").alias("p")).select("row", "p.*").join(terms.select("term", "action", "form"), "term")
     order = F.array_position(F.array(*map(F.lit, ADDED)), F.col("action")).cast("int")
@@ -323,7 +324,8 @@ def sanitized(spark: SparkSession, docs: DataFrame, alpha: float = ALPHA, near:
     def run(frames):
         for frame in frames:
             frame["text"] = [rewritten(t, b, a) for t, b, a in zip(frame["text"], frame["base"], frame["added"])]
-            yield frame[["doc_id", "text"]].astype({"doc_id": "Int64"})
+            yield frame[["doc_id", "text"]]
 
     spans = sanitizing_spans(spark, docs, alpha, near, general, with_text=True)
-    return in_batches(spans.select("doc_id", "text", "base", "added"), run, "doc_id long, text string")
+    spans = spans.select(F.col("doc_id").cast("string"), "text", "base", "added")
+    return in_batches(spans, run, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast("long"))

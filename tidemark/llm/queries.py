@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, ctph, decontam, disclosure, langid, licenses, linededup, mixing, runindex, simhash, warcaudit, wavelet
+from tidemark.llm import alignment, ctph, decontam, disclosure, hardneg, langid, licenses, linededup, mixing, runindex, simhash, warcaudit, wavelet
 from tidemark.llm.common import table
 
 MIX_SEED = 42
@@ -181,6 +181,26 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(spark, docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).drop("groups")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.hard_negatives(spark, table(spark, sf_dir, "embeddings"))
+
+
+SQL13 = """
+WITH r AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 QUERIES = {
     "op1_run_index_dedup": op1_run_index_dedup,
     "op2_language_id": op2_language_id,
@@ -194,5 +214,6 @@ QUERIES = {
     "op10_mixture": op10_mixture,
     "op11_disclosure": op11_disclosure,
     "op12_alignment": op12_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-SQL = {"op3_line_dedup": SQL3, "op4_warc_audit": SQL4, "op8_decontamination": SQL8, "op10_mixture": SQL10}
+SQL = {"op3_line_dedup": SQL3, "op4_warc_audit": SQL4, "op8_decontamination": SQL8, "op10_mixture": SQL10, "op13_hard_negatives": SQL13}
