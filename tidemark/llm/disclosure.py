@@ -115,9 +115,11 @@ def masked(word: str) -> str | None:
     return word[: len(word) // 2] + MARK if len(word) >= 6 else None
 
 
-def mentions(text: str, near: int, general: Callable[[str], str | None]) -> Iterator[tuple[str, str | None, str | None, int]]:
+def mentions(text: str, near: int, general: Callable[[str], str | None]) -> Iterator[tuple[str | None, str | None, str | None, int]]:
     """(entity, term, its masked form, context): each term near a mention once per entity, and one row without a term.
 
+    Rows without an entity name each term near any of the text's mentions once.
+
     The context is a hash of the words near the entity's mentions, so that the evidence of copies can be told apart.
     """
     spans = base_spans(text)
@@ -130,6 +132,7 @@ def mentions(text: str, near: int, general: Callable[[str], str | None]) -> Iter
         left, right = bisect.bisect_left(starts, a), bisect.bisect_left(starts, b)
         found = words[max(0, left - near) : left] + words[right : right + near]
         around.setdefault(entity(kind, text[a:b]), []).extend(w for _, w in found)
+    every = set()
     for name, found in around.items():
         context = xxhash.xxh64_intdigest(" ".join(found)) >> 1
         yield name, None, None, context
@@ -140,6 +143,9 @@ def mentions(text: str, near: int, general: Callable[[str], str | None]) -> Iter
             if form and form not in forms:
                 forms.add(form)
                 yield name, form, None, context
+        every.update(found, forms)
+    for term in every:
+        yield None, term, None, 0
 
 
 class TermFilter:
@@ -234,7 +240,8 @@ def _span_pass(held, general, with_text):
 def pair_counts(docs: DataFrame, near: int = NEAR_WORDS, general=masked) -> DataFrame:
     """(entity, term, form, n, varied): documents in which a term stands near an entity, in more than one context or not.
 
-    The rows without a term count the entity's own documents.
+    The rows without a term count the entity's own documents, those without an entity the documents in which a term stands
+    near any entity.
     """
     rows = in_batches(docs.select(F.col("text").cast("string")), _mention_pass(near, general), "entity string, term string, form string, context long")
     return rows.groupBy("entity", "term").agg(F.max("form").alias("form"), F.count("*").alias("n"), (F.min("context") < F.max("context")).alias("varied"))
@@ -254,11 +261,14 @@ def disclosing_terms(spark: SparkSession, docs: DataFrame, alpha: float = ALPHA,
     docs = docs.select(F.col("text").cast("string"))
     total = docs.count()
     pairs = stored(spark, pair_counts(docs, near, general), "entity-terms")
-    seen = pairs.where("term IS NOT NULL AND varied")
+    known = pairs.where("term IS NULL").select("entity", F.col("n").alias("n_e"))
+    # A term occurs in at least as many documents as it stands near some entity in; what fails by that needs no count.
+    least = pairs.where("entity IS NULL").select("term", F.col("n").alias("n_least"))
+    seen = pairs.where("entity IS NOT NULL AND term IS NOT NULL AND varied").join(known, "entity").join(least, "term")
+    seen = stored(spark, seen.where(discloses(total, F.col("n"), F.col("n_least"), F.col("n_e"), alpha)), "candidate-terms")
     held = spark.sparkContext.broadcast(term_filter(seen.select("term").distinct()))
     counts = in_batches(docs, _count_pass(held, general), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    known = pairs.where("term IS NULL").select("entity", F.col("n").alias("n_e"))
-    judged = seen.join(known, "entity").join(counts, "term").where(discloses(total, F.col("n"), F.col("n_t"), F.col("n_e"), alpha))
+    judged = seen.join(counts, "term").where(discloses(total, F.col("n"), F.col("n_t"), F.col("n_e"), alpha))
     judged = stored(spark, judged.withColumn("pmi", F.log2(F.lit(float(total)) * F.col("n") / (F.col("n_t") * F.col("n_e")))), "disclosures")
     forms = judged.where(F.col("term").endswith(MARK)).select("entity", F.col("term").alias("form"), F.lit(True).alias("open"))
     words = judged.where(~F.col("term").endswith(MARK)).join(forms, ["entity", "form"], "left")
