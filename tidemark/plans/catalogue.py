@@ -8,6 +8,7 @@ from tidemark.plans import (  # noqa: F401
     investigation_queries,
     metric_queries,
     scalar_queries,
+    signal_queries,
     source_queries,
     stream_queries,
 )
