@@ -69,8 +69,9 @@ def compare(spark, key: str, sf: str = SF, con=None) -> tuple[bool, str]:
         diff = {n: (types[n], want_types[n]) for n in names if types[n] != want_types[n]}
         return False, f"types differ {diff}"
     if rows != want:
-        extra = [r for r in rows if r not in set(want)][:3]
-        missing = [r for r in want if r not in set(rows)][:3]
+        here, there = set(rows), set(want)
+        extra = [r for r in rows if r not in there][:3]
+        missing = [r for r in want if r not in here][:3]
         return False, f"rows {len(rows)} vs {len(want)}; spark-only {extra}; sql-only {missing}"
     note = " EMPTY" if not rows else ""
     return True, f"rows={len(rows)}{note} {spent:.1f}s"

@@ -41,7 +41,7 @@ def test_conditions_survive_restarts(spark, tmp_path):
     folder = step_through(spark, "orders", parts, tmp_path, lambda t: J.stream_conditions(t.actions), "conditions", "update")
     rows = R.latest_version(R.sink(spark, folder, J.CONDITION_OUT), ["condition_key", "episode"])
     columns = ["condition_key", "episode", "detected_at", "ended_at", "severity", "supporting_count", "affected_count", "valid_count"]
-    batch = E.condition_lifecycle(Lake(spark, SF).actions, ["condition_key"], ["at", "run_id"]).select(*columns)
+    batch = E.condition_lifecycle(Lake(spark, SF).actions, ["condition_key"], ["at", "run_id", "seq"]).select(*columns)
     assert sorted(map(str, rows.select(*columns).collect())) == sorted(map(str, batch.collect()))
 
 

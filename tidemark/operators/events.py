@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.catalogs import ADS_CONDITION_CODES
 from tidemark.functions.numbers import severity_name, severity_rank
 from tidemark.functions.shape import either
-from tidemark.operators.ordered import carry_previous, first_per_key, running_count, time_bucket
-
-
+from tidemark.operators.machines import run_machine
+from tidemark.operators.ordered import carry_previous, time_bucket
 
 
 def window_status(windows: DataFrame, runs: DataFrame, final: tuple[str, ...]) -> DataFrame:
@@ -106,26 +106,26 @@ def condition_lifecycle(
 ) -> DataFrame:
     """Fold UPSERT, SUPPORT and RESOLVE actions into episodes.
 
-    Actions: keys, at, run_id, action, severity, affected_count, valid_count.  SUPPORT never
-    changes whether a condition is active, so the state before a row is simply its last other
-    action; an UPSERT outside an episode opens one, numbered by a running count.  A run counts
-    once per condition, however many of its actions arrive.
+    Actions: keys, at, run_id, action, severity, affected_count, valid_count.  All actions of a run share its time, and
+    ``order`` starts with time and run, so that they follow each other.  Only an UPSERT opens; what a run has to say once it
+    counts for the open episode is ignored, a RESOLVE included; what it said before the episode opened does not count.
     """
-    once = first_per_key(actions, [*keys, "run_id"], [F.col(c) for c in order])
-    once = once.withColumn("_state", F.when(F.col("action") != "SUPPORT", F.col("action")))
     bucket = time_bucket("at") if bucket is None else bucket
-    seen = carry_previous(once, keys, order, "_state", "_before", bucket)
-    active = F.coalesce(F.col("_before") == "UPSERT", F.lit(False))
-    opens = (F.col("action") == "UPSERT") & ~active
-    numbered = running_count(
-        seen.withColumn("_opens", opens).withColumn("_active", active), keys, order, F.col("_opens"), "episode", bucket
-    )
-    used = numbered.where(F.col("_opens") | F.col("_active"))
-    lives = F.col("action") != "RESOLVE"
-    return used.groupBy(*keys, "episode").agg(
-        F.min(F.when(F.col("_opens"), F.col("at"))).alias("detected_at"),
-        F.min(F.when(F.col("_opens"), F.col("run_id"))).alias("opened_by"),
-        F.max(F.when(F.col("action") == "RESOLVE", F.col("at"))).alias("ended_at"),
+    line = Window.partitionBy(*keys, bucket).orderBy(*order)
+    fresh = ~F.lag("run_id").over(line).eqNullSafe(F.col("run_id"))
+    rows = actions.withColumn("_fresh", fresh)
+    maps = lambda inactive, active: F.array(F.lit(inactive), F.lit(active))
+    moves = either(
+        (F.col("action") == "UPSERT", maps(1, 1)), ((F.col("action") == "RESOLVE") & F.col("_fresh"), maps(0, 0)), otherwise=maps(0, 1)
+    )
+    moved = run_machine(rows, keys, order, moves, 2, [1], bucket)
+    was, is_ = F.col("state_before") == 1, F.col("state_after") == 1
+    used = moved.withColumn("_counts", is_ & (F.col("_fresh") | ~was)).withColumn("_closes", was & ~is_).where("_counts OR _closes")
+    lives = F.col("_counts")
+    return used.groupBy(*keys, F.col("ordinal").alias("episode")).agg(
+        F.min(F.when(lives, F.col("at"))).alias("detected_at"),
+        F.min(F.when(lives & (F.col("state_before") == 0), F.col("run_id"))).alias("opened_by"),
+        F.max(F.when(F.col("_closes"), F.col("at"))).alias("ended_at"),
         F.max("at").alias("latest_observed_at"),
         severity_name(F.max(F.when(lives, severity_rank(F.col("severity"))))).alias("severity"),
         F.count_if(lives).alias("supporting_count"),

@@ -11,6 +11,7 @@ from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.functions.hashing import canonical_hash
 from tidemark.functions.shape import either
+from tidemark.operators.intervals import instant_join, interval_join
 from tidemark.operators.ordered import carry_previous, first_per_key, top_n
 
 MAX_IDENTITIES = 2_000
@@ -333,14 +334,14 @@ def expected_vs_observed(observed: DataFrame, expected: DataFrame, times: list[s
 
 def valid_at(facts: DataFrame, validity: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
     """Validity rows in force at each fact: valid_from <= at and (open or valid_to > at)."""
-    live = (F.col("valid_from") <= F.col(at)) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col(at)))
-    return facts.join(validity, keys).where(live)
+    live = F.col("valid_to").isNull() | (F.col("valid_to") > F.col(at))
+    return instant_join(facts, validity, keys, at, ("valid_from", "valid_to")).where(live)
 
 
 def overlapping(windows: DataFrame, validity: DataFrame, keys: list[str]) -> DataFrame:
     """Validity rows that overlap [window_start, window_end], as the run grid reads them."""
-    live = (F.col("valid_from") <= F.col("window_end")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("window_start")))
-    return windows.join(validity, keys).where(live)
+    live = F.col("valid_to").isNull() | (F.col("valid_to") > F.col("window_start"))
+    return interval_join(windows, validity, keys, ("window_start", "window_end"), ("valid_from", "valid_to")).where(live)
 
 
 CONSENT_SCHEMA = """tcfApiDetected BOOLEAN, capturedAtMs DOUBLE, apiReadyAtMs DOUBLE, tcStateAvailableAtMs DOUBLE,

@@ -305,27 +305,31 @@ def candidate_union(t):
 
 
 def _sql_lifecycle(source: str, keys: str, order: str) -> str:
-    return f"""s AS (SELECT *, last_value(CASE WHEN action <> 'SUPPORT' THEN action END IGNORE NULLS) OVER (PARTITION BY {keys} ORDER BY {order}
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {source}),
-    o AS (SELECT *, coalesce(before = 'UPSERT', false) AS active, action = 'UPSERT' AND NOT coalesce(before = 'UPSERT', false) AS opens FROM s),
-    e AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY {order}) AS episode FROM o),
-    ep AS (SELECT {keys}, B(episode) AS episode, min(at) FILTER (opens) AS detected_at, max(at) FILTER (action = 'RESOLVE') AS ended_at,
-        ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max(list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)) FILTER (action <> 'RESOLVE')] AS severity,
-        B(count(*) FILTER (action <> 'RESOLVE')) AS supporting_count, B(max(affected_count) FILTER (action <> 'RESOLVE')) AS affected_count,
-        B(max(valid_count) FILTER (action <> 'RESOLVE')) AS valid_count FROM e WHERE opens OR active GROUP BY {keys}, episode)"""
-
-
-@query("condition_lifecycle", "WITH " + _sql_lifecycle("{actions}", "condition_key", "at, run_id") + """
+    """A plain fold, one row of every key at a time."""
+    return f"""n AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn,
+            run_id IS DISTINCT FROM lag(run_id) OVER (PARTITION BY {keys} ORDER BY {order}) AS fresh FROM {source}),
+    f AS (SELECT n.*, action = 'UPSERT' AS active, CASE WHEN action = 'UPSERT' THEN 1 ELSE 0 END AS episode, action = 'UPSERT' AS counted, false AS closed FROM n WHERE rn = 1
+      UNION ALL SELECT n.*, CASE WHEN f.active THEN NOT (n.fresh AND n.action = 'RESOLVE') ELSE n.action = 'UPSERT' END,
+        f.episode + CASE WHEN NOT f.active AND n.action = 'UPSERT' THEN 1 ELSE 0 END,
+        CASE WHEN f.active THEN n.fresh AND n.action <> 'RESOLVE' ELSE n.action = 'UPSERT' END, f.active AND n.fresh AND n.action = 'RESOLVE'
+        FROM f JOIN n ON n.rn = f.rn + 1 AND {" AND ".join(f"n.{k.strip()} = f.{k.strip()}" for k in keys.split(","))}),
+    ep AS (SELECT {keys}, B(episode) AS episode, min(at) FILTER (counted) AS detected_at, max(at) FILTER (closed) AS ended_at,
+        ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max(list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)) FILTER (counted)] AS severity,
+        B(count(*) FILTER (counted)) AS supporting_count, B(max(affected_count) FILTER (counted)) AS affected_count,
+        B(max(valid_count) FILTER (counted)) AS valid_count FROM f WHERE counted OR closed GROUP BY {keys}, episode)"""
+
+
+@query("condition_lifecycle", "WITH RECURSIVE " + _sql_lifecycle("{actions}", "condition_key", "at, run_id, seq") + """
     SELECT B(condition_key) AS condition_key, episode, TS(detected_at) AS detected_at, TS(ended_at) AS ended_at, severity, supporting_count, affected_count, valid_count,
         CASE WHEN affected_count >= 2 THEN 2 ELSE 1 END AS blast_radius, CASE WHEN ended_at IS NULL THEN 'ACTIVE' ELSE 'RESOLVED' END AS status FROM ep""")
 def condition_lifecycle(t):
-    return E.condition_lifecycle(t.actions, ["condition_key"], ["at", "run_id"]).select(
+    return E.condition_lifecycle(t.actions, ["condition_key"], ["at", "run_id", "seq"]).select(
         "condition_key", "episode", ts_text("detected_at").alias("detected_at"), ts_text("ended_at").alias("ended_at"), "severity", "supporting_count", "affected_count",
         "valid_count", "blast_radius", "status",
     )
 
 
-@query("exclusive_conditions", """WITH a AS (SELECT *, 1 AS seq FROM {adsactions} UNION ALL SELECT site, at, run_id, k AS code, 'RESOLVE', severity, affected_count, valid_count, 0
+@query("exclusive_conditions", """WITH RECURSIVE a AS (SELECT *, 1 AS seq FROM {adsactions} UNION ALL SELECT site, at, run_id, k AS code, 'RESOLVE', severity, affected_count, valid_count, 0
         FROM {adsactions}, (VALUES ('ADS_TXT_MISSING'), ('ADS_TXT_EMPTY_200'), ('ADS_TXT_INVALID')) AS c(k) WHERE action = 'UPSERT' AND k <> code), """
     + _sql_lifecycle("a", "site, code", "at, run_id, seq") + """
     SELECT B(site) AS site, code, episode, TS(detected_at) AS detected_at, TS(ended_at) AS ended_at, supporting_count FROM ep""")

@@ -248,11 +248,14 @@ frame(
 frame(
     "actions",
     """
-    SELECT o_custkey AS condition_key, o_orderdate AS at, o_orderkey AS run_id,
+    SELECT o_custkey AS condition_key, o_orderdate AS at, o_orderkey AS run_id, 0 AS seq,
            CASE o_orderpriority WHEN '1-URGENT' THEN 'UPSERT' WHEN '2-HIGH' THEN 'UPSERT' WHEN '5-LOW' THEN 'RESOLVE' ELSE 'SUPPORT' END AS action,
            CASE o_orderstatus WHEN 'F' THEN 'LOW' WHEN 'O' THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
            o_orderkey % 5 AS affected_count, o_orderkey % 5 + o_orderkey % 3 AS valid_count
     FROM {orders}
+    UNION ALL SELECT o_custkey, o_orderdate, o_orderkey, 1, CASE o_orderkey % 4 WHEN 0 THEN 'UPSERT' WHEN 1 THEN 'SUPPORT' WHEN 2 THEN 'RESOLVE' ELSE 'UPSERT' END,
+           'CRITICAL', o_orderkey % 7, o_orderkey % 7 + 1
+    FROM {orders} WHERE o_custkey % 2 = 0
     """,
 )
 frame(
