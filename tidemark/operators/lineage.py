@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.catalogs import FINAL_RUN_STATUSES, VALID_RUN_STATUSES
 from tidemark.functions.shape import either
-from tidemark.operators.ordered import DAY, carry_previous, latest_before, time_bucket, top_n
+from tidemark.operators.intervals import instant_join
+from tidemark.operators.ordered import asof_join, carry_previous, DAY, latest_before, time_bucket, top_n
 
 COMPONENTS = ("scripts", "network", "javascript_errors", "seo")
 FAR = "9999-12-31 00:00:00"
@@ -191,6 +192,15 @@ def comparability() -> Column:
     return either(*branches)
 
 
+def tagged_members(sets: dict[str, DataFrame]) -> DataFrame:
+    """The member tables of all components as one: (snapshot_id, member) with the component before a bar."""
+    whole = None
+    for component, members in sets.items():
+        one = members.select("snapshot_id", F.concat(F.lit(f"{component}|"), F.col("member").cast("string")).alias("member"))
+        whole = one if whole is None else whole.unionByName(one)
+    return whole
+
+
 def state_compare(pairs: DataFrame, sets: dict[str, DataFrame], counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(verdicts, changes): NOT_COMPARABLE with a reason, or the list of differences.
 
@@ -201,16 +211,14 @@ def state_compare(pairs: DataFrame, sets: dict[str, DataFrame], counts: DataFram
     dom = usable.where(~F.col("dom_hash").eqNullSafe(F.col("previous_dom_hash"))).select(
         "snapshot_id", F.lit("DOM").alias("component"), F.lit("STRUCTURAL_CHANGE").alias("kind"), F.lit("").alias("stable_key")
     )
-    changes = dom
-    for component, members in sets.items():
-        flags = membership(usable, members, {"cur": "snapshot_id", "prev": "previous_id"})
-        changes = changes.unionByName(
-            flags.where(F.col("in_cur") != F.col("in_prev")).select(
-                "snapshot_id", F.lit(component).alias("component"),
-                F.when(F.col("in_cur"), "PRESENCE_ADDED").otherwise("PRESENCE_REMOVED").alias("kind"),
-                F.col("member").cast("string").alias("stable_key"),
-            )
+    flags = membership(usable, tagged_members(sets), {"cur": "snapshot_id", "prev": "previous_id"})
+    changes = dom.unionByName(
+        flags.where(F.col("in_cur") != F.col("in_prev")).select(
+            "snapshot_id", F.substring_index("member", "|", 1).alias("component"),
+            F.when(F.col("in_cur"), "PRESENCE_ADDED").otherwise("PRESENCE_REMOVED").alias("kind"),
+            F.expr("substr(member, locate('|', member) + 1)").alias("stable_key"),
         )
+    )
     status = status_changes(usable, counts).select(
         "snapshot_id", F.lit("NETWORK_DEPENDENCY").alias("component"), F.lit("STATUS_CHANGE").alias("kind"),
         F.col("member").cast("string").alias("stable_key"),
@@ -233,3 +241,37 @@ def bounded_changes(changes: DataFrame, n: int = 200) -> DataFrame:
 def value_changed(before: Column, after: Column) -> Column:
     """Differs, and not absent on both sides."""
     return ~before.eqNullSafe(after)
+
+
+def member_changes(snapshots: DataFrame, sets: dict[str, DataFrame], key: str) -> DataFrame:
+    """Change events of all components in one pass: (key, at, snapshot_id, component, stable_key, step), step +1 or -1."""
+    pairs = previous_snapshot(snapshots.select("snapshot_id", key, "at"), [key])
+    flags = membership(pairs, tagged_members(sets), {"cur": "snapshot_id", "prev": "previous_id"})
+    step = F.when(F.col("in_cur"), 1).otherwise(-1)
+    changed = flags.where(F.col("in_cur") != F.coalesce("in_prev", F.lit(False))).withColumn("step", step)
+    return changed.join(snapshots.select("snapshot_id", key, "at"), "snapshot_id").select(
+        key, "at", "snapshot_id", F.substring_index("member", "|", 1).alias("component"),
+        F.expr("substr(member, locate('|', member) + 1)").alias("stable_key"), "step",
+    )
+
+
+def changed_since_lkg(incidents: DataFrame, snapshots: DataFrame, changes: DataFrame, key: str, healthy: Column) -> DataFrame:
+    """What differs between the last healthy snapshot before an onset and the state at the onset.
+
+    Incidents: incident_id, key, onset.  Additions and removals of one member cancel as +1 and -1, a sum that needs
+    no order and is combined before the shuffle; what remains is the net change.  An incident without a healthy
+    snapshot before it has nothing to be compared with and no rows.
+    """
+    good = snapshots.where(healthy).select(key, "at", "snapshot_id")
+    framed = asof_join(incidents, good, [key], "onset", "incident_id", "at", "snapshot_id", ["at", "snapshot_id"], "lkg")
+    windows = framed.where(F.col("lkg").isNotNull() & F.col("onset").isNotNull()).select(
+        "incident_id", key, "onset", F.col("lkg.at").alias("lkg_at"), F.col("lkg.snapshot_id").alias("lkg_id")
+    )
+    inside = instant_join(changes, windows, [key], "at", ("lkg_at", "onset"))
+    after = (F.col("at") > F.col("lkg_at")) | (F.col("snapshot_id") > F.col("lkg_id"))
+    net = inside.where(after).groupBy("incident_id", "lkg_id", "component", "stable_key").agg(
+        F.sum("step").alias("net"), F.count("*").alias("events"), F.max("at").alias("last_changed_at")
+    )
+    return net.where("net <> 0").select(
+        "incident_id", "lkg_id", "component", "stable_key", F.when(F.col("net") > 0, "ADDED").otherwise("REMOVED").alias("change"), "events", "last_changed_at"
+    )
