@@ -24,26 +24,26 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def mask_volatile(value: Column) -> Column:
-    """Identifiers become :token, long numbers :number, white space is squeezed, 300 characters kept."""
+    """Identifiers become :token, long numbers :number, white space is squeezed."""
     masked = F.regexp_replace(F.regexp_replace(value, TOKEN, ":token"), LONG_NUMBER, ":number")
-    return F.substring(F.trim(F.regexp_replace(masked, SPACE, " ")), 1, 300)
+    return F.trim(F.regexp_replace(masked, SPACE, " "))
 
 
 def safe_tokens(value: Column) -> Column:
-    """Masked, cleaned, distinct tokens in order; the first 20."""
+    """Masked, cleaned, distinct tokens in order."""
     cleaned = F.transform(
         F.split(F.trim(value), SPACE),
-        lambda raw: F.substring(F.regexp_replace(mask_volatile(raw), UNSAFE, ""), 1, 100),
+        lambda raw: F.regexp_replace(mask_volatile(raw), UNSAFE, ""),
     )
     kept = F.array_sort(F.array_distinct(F.filter(cleaned, lambda x: x != "")))
-    return F.array_join(F.slice(kept, 1, 20), " ")
+    return F.array_join(kept, " ")
 
 
 def path_family(path: Column) -> Column:
     """Path with identifiers replaced; long results end in a digest of the whole."""
     parts = F.transform(
         F.filter(F.split(path, "/"), lambda p: p != ""),
-        lambda p: F.when(F.substring(p, 1, 120).rlike(PATH_ID), F.lit(":id")).otherwise(mask_volatile(F.substring(p, 1, 120))),
+        lambda p: F.when(p.rlike(PATH_ID), F.lit(":id")).otherwise(mask_volatile(p)),
     )
     whole = F.concat(F.lit("/"), F.array_join(parts, "/"))
     return bind(
@@ -66,8 +66,8 @@ def title_hash(title: Column) -> Column:
 
 
 def consent_hash(value: Column) -> Column:
-    """Consent strings are only ever kept as a digest of their first 10,000 characters."""
-    trimmed = F.substring(F.trim(value), 1, 10_000)
+    """Consent strings are only ever kept as a digest."""
+    trimmed = F.trim(value)
     return F.when(trimmed != "", F.sha2(trimmed, 256))
 
 
@@ -76,7 +76,7 @@ def video_key(structural_path: Column) -> Column:
 
 
 def slot_key(ad_unit_path: Column, element_id: Column) -> Column:
-    path, element = F.trim(ad_unit_path), F.substring(F.trim(element_id), 1, 300)
+    path, element = F.trim(ad_unit_path), F.trim(element_id)
     return either(
         (F.coalesce(path, F.lit("")) != "", F.concat(F.lit("gpt|ad-unit|"), path)),
         (F.coalesce(element, F.lit("")) != "", F.concat(F.lit("gpt|dom|"), element)),
@@ -88,13 +88,12 @@ def record_hash(domain: Column, account: Column, relationship: Column, authority
 
 
 def challenge_marker(body: Column) -> Column:
-    """First challenge marker, in marker order, within the scanned head of the page text."""
-    head = F.lower(F.substring(body, 1, CHALLENGE_SCAN))
-    return F.coalesce(*[F.when(F.contains(head, F.lit(m)), F.lit(m)) for m in CHALLENGE_MARKERS])
+    """First challenge marker, in marker order, anywhere in the page text."""
+    whole = F.lower(body)
+    return F.coalesce(*[F.when(F.contains(whole, F.lit(m)), F.lit(m)) for m in CHALLENGE_MARKERS])
 
 
 # --- fixed values: challenge markers, in precedence order ---------------------------------
-CHALLENGE_SCAN = 100_000
 CHALLENGE_MARKERS = (
     "captcha",
     "cf-challenge",

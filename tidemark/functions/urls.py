@@ -61,8 +61,8 @@ def dependency_category(host_column: Column, path_column: Column) -> Column:
 
 
 def resource_type(kind: Column) -> Column:
-    cut = F.substring(F.lower(F.coalesce(kind, F.lit(""))), 1, 50)
-    return F.when(cut == "", "other").otherwise(cut)
+    name = F.lower(F.coalesce(kind, F.lit("")))
+    return F.when(name == "", "other").otherwise(name)
 
 
 def dependency_key(url: Column, kind: Column) -> Column:
@@ -71,12 +71,12 @@ def dependency_key(url: Column, kind: Column) -> Column:
 
 
 def is_vast(path_column: Column) -> Column:
-    return F.lower(F.substring(path_column, 1, 2000)).rlike(VAST_PATH)
+    return F.lower(path_column).rlike(VAST_PATH)
 
 
 def is_media(path_column: Column, kind: Column) -> Column:
     ending = "(" + "|".join(re.escape(e) for e in MEDIA_EXTENSIONS) + ")$"
-    return F.coalesce(kind == "media", F.lit(False)) | F.lower(F.substring(path_column, 1, 2000)).rlike(ending)
+    return F.coalesce(kind == "media", F.lit(False)) | F.lower(path_column).rlike(ending)
 
 
 def is_ad_server(host_column: Column, path_column: Column) -> Column:
@@ -93,7 +93,7 @@ def is_third_party(host_column: Column, site_domain: Column) -> Column:
     return (host_column != site_domain) & ~F.endswith(host_column, F.concat(F.lit("."), site_domain))
 
 
-def canonical_url(href: Column, base: Column, limit: int = 2048) -> Column:
+def canonical_url(href: Column, base: Column) -> Column:
     """Absolute http(s) URL: lower scheme and host, no fragment, at least '/' as path.
 
     Relative references resolve against the base; dot segments are kept as written.
@@ -121,7 +121,7 @@ def canonical_url(href: Column, base: Column, limit: int = 2048) -> Column:
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
     )
     usable = F.lower(F.regexp_extract(absolute, SCHEME, 1)).isin("http", "https") & name.isNotNull()
-    return F.when(usable, F.substring(built, 1, limit))
+    return F.when(usable, built)
 
 
 # --- fixed values: percent normalization -------------------------------------------------------

@@ -339,7 +339,6 @@ ATTR = r'(?is)\s{name}\s*=\s*"([^"]*)"'
 OPEN_TAG = r"<[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?>"
 SAFE_ATTRS = r'(?i)\s(aria-hidden|data-ad-unit|data-testid|defer|hidden|id|itemprop|name|property|rel|role|type)(?:\s*=\s*"[^"]*")?'
 REFERENCE = r'(?i)<(script|link|iframe|a)\s(?:[^>]*?\s)?(?:src|href)="([^"]*)"'
-MAX_NODES = 20_000
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
@@ -358,23 +357,22 @@ def page_seo(pages: DataFrame) -> DataFrame:
         F.regexp_extract_all("html", F.lit(LINK_TAG), F.lit(0)), lambda tag: F.array_contains(F.split(F.lower(_attr(tag, "rel")), r"\s+"), "canonical")
     )
     return pages.select(
-        "page_id", T.title_hash(title).alias("title_hash"), F.nullif(F.substring(F.array_join(merged, ","), 1, 1000), F.lit("")).alias("meta_robots"),
+        "page_id", T.title_hash(title).alias("title_hash"), F.nullif(F.array_join(merged, ","), F.lit("")).alias("meta_robots"),
         U.canonical_url(_attr(F.try_element_at(links, F.lit(1)), "href"), F.col("url")).alias("canonical_url"),
     )
 
 
 def page_structure(pages: DataFrame) -> DataFrame:
-    """Structural fingerprint: open tags in order with their safe attributes, cut at 20,000."""
+    """Structural fingerprint: open tags in order with their safe attributes."""
     tags = F.regexp_extract_all("html", F.lit(OPEN_TAG), F.lit(0))
     name = lambda tag: F.lower(F.regexp_extract(tag, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1))
     kept = lambda tag: F.array_sort(F.transform(F.regexp_extract_all(tag, F.lit(SAFE_ATTRS), F.lit(0)), lambda a: T.mask_volatile(F.lower(a))))
     node = lambda tag: F.concat_ws(" ", F.array(name(tag)), kept(tag))
     shaped = pages.select("page_id", tags.alias("tags")).select(
-        "page_id", F.size("tags").alias("nodes"), F.transform(F.slice("tags", 1, MAX_NODES), node).alias("seq")
+        "page_id", F.size("tags").alias("nodes"), F.transform("tags", node).alias("seq")
     )
     return shaped.select(
-        "page_id", F.least("nodes", F.lit(MAX_NODES)).cast("bigint").alias("node_count"), (F.col("nodes") > MAX_NODES).alias("truncated"),
-        F.sha2(F.array_join("seq", "\n"), 256).alias("structure_hash"),
+        "page_id", F.col("nodes").cast("bigint").alias("node_count"), F.sha2(F.array_join("seq", "\n"), 256).alias("structure_hash"),
     )
 
 

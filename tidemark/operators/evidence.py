@@ -9,15 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
-from tidemark.functions.hashing import canonical_hash
+from tidemark.functions.hashing import canonical_hash, set_fingerprint
 from tidemark.functions.shape import either
 from tidemark.operators.intervals import instant_join, interval_join
-from tidemark.operators.ordered import carry_previous, first_per_key, top_n
-
-MAX_IDENTITIES = 2_000
-MAX_SLOTS = 200
-MAX_RESPONSES = 1_000
-MAX_VIDEO_REQUESTS = 10_000
+from tidemark.operators.ordered import carry_previous, first_per_key
 
 
 def identified(network: DataFrame) -> DataFrame:
@@ -27,11 +22,6 @@ def identified(network: DataFrame) -> DataFrame:
     )
 
 
-def bounded_identities(df: DataFrame, key: str = "stable_key", n: int = MAX_IDENTITIES) -> DataFrame:
-    """First ``n`` identities per run in key order; adds ``position``."""
-    return top_n(df, ["run_id"], [F.col(key)], n, "position")
-
-
 def network_agg(network: DataFrame) -> DataFrame:
     """Requests, failures, status classes and the per-status map of each dependency of a run."""
     by_status = identified(network).groupBy("run_id", "stable_key", "status").agg(
@@ -53,16 +43,11 @@ def network_agg(network: DataFrame) -> DataFrame:
 
 
 def network_state(aggregates: DataFrame) -> DataFrame:
-    """One hash per run over its first 2,000 dependencies and their counts."""
+    """One order-free fingerprint per run over all its dependencies and their counts."""
     line = F.concat_ws(
         ":", "stable_key", *[F.col(c).cast("string") for c in ("requests", "failures", "status_4xx", "status_5xx")]
     )
-    sizes = aggregates.groupBy("run_id").agg(F.count("*").alias("dependencies"))
-    kept = bounded_identities(aggregates).groupBy("run_id").agg(F.array_sort(F.collect_list(line)).alias("_lines"))
-    return kept.join(sizes, "run_id").select(
-        "run_id", "dependencies", (F.col("dependencies") > MAX_IDENTITIES).alias("truncated"),
-        F.sha2(F.array_join("_lines", "|"), 256).alias("state_hash"),
-    )
+    return aggregates.groupBy("run_id").agg(F.count("*").alias("dependencies"), set_fingerprint(line).alias("state_hash"))
 
 
 def js_errors(errors: DataFrame) -> DataFrame:
@@ -79,16 +64,11 @@ def js_errors(errors: DataFrame) -> DataFrame:
 
 
 def script_set(scripts: DataFrame) -> DataFrame:
-    """Distinct script identities per run as a sorted, hashed list cut at 2,000."""
+    """Number and fingerprint of the distinct script identities of a run."""
     unique = scripts.where(U.host(F.col("url")).isNotNull()).select(
         "run_id", U.dependency_key(F.col("url"), F.lit("script")).alias("stable_key")
     ).distinct()
-    sizes = unique.groupBy("run_id").agg(F.count("*").alias("scripts"))
-    kept = bounded_identities(unique).groupBy("run_id").agg(F.array_sort(F.collect_list("stable_key")).alias("_keys"))
-    return kept.join(sizes, "run_id").select(
-        "run_id", "scripts", (F.col("scripts") > MAX_IDENTITIES).alias("truncated"),
-        F.sha2(F.array_join("_keys", "\n"), 256).alias("state_hash"),
-    )
+    return unique.groupBy("run_id").agg(F.count("*").alias("scripts"), set_fingerprint("stable_key").alias("state_hash"))
 
 
 def auction_agg(events: DataFrame, default_timeout: int | None, default_units: int | None) -> DataFrame:
@@ -115,22 +95,19 @@ def auction_agg(events: DataFrame, default_timeout: int | None, default_units: i
 
 
 def bidder_agg(events: DataFrame) -> DataFrame:
-    """Per auction and bidder: counts, wins and response times of the first 1,000 responses."""
+    """Per auction and bidder: counts, wins and response times."""
     keys = ["run_id", "auction_key", "bidder"]
     known = events.where(F.col("bidder").rlike(r"^[A-Za-z0-9_.-]{1,100}$"))
     kind = F.col("event_type")
-    counts = known.groupBy(*keys).agg(
+    took = F.when((kind == "bidResponse") & (F.col("response_ms") >= 0), F.col("response_ms"))
+    return known.groupBy(*keys).agg(
         F.count_if(kind == "bidRequested").alias("requests"),
         F.count_if(kind == "bidResponse").alias("responses"),
         F.count_if(kind == "noBid").alias("no_bids"),
         F.count_if(kind.isin("bidTimeout", "auctionTimeout")).alias("timeouts"),
         F.count_if(kind == "bidWon").alias("wins"),
+        F.min(took).alias("response_min"), F.max(took).alias("response_max"), F.avg(took).alias("response_avg"),
     )
-    timed = known.where((kind == "bidResponse") & (F.col("response_ms") >= 0))
-    times = top_n(timed, keys, [F.col("seq")], MAX_RESPONSES).groupBy(*keys).agg(
-        F.min("response_ms").alias("response_min"), F.max("response_ms").alias("response_max"), F.avg("response_ms").alias("response_avg")
-    )
-    return counts.join(times, keys, "left")
 
 
 def first_ad_request_after(auctions: DataFrame, network: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
@@ -162,10 +139,9 @@ def consent_phase_agg(network: DataFrame, consent: DataFrame) -> DataFrame:
         (~later, "PRE_CONSENT"), (F.col("consent_path") == "REJECT", "POST_REJECT"), otherwise="POST_ACCEPT"
     )
     failed = F.col("error_text").isNotNull() | F.coalesce(F.col("status") >= 400, F.lit(False))
-    grouped = joined.groupBy("run_id", phase.alias("phase"), "stable_key").agg(
+    return joined.groupBy("run_id", phase.alias("phase"), "stable_key").agg(
         F.count("*").alias("requests"), F.count_if(failed).alias("errors"), F.min("at_ms").alias("first_request_ms")
     )
-    return top_n(grouped, ["run_id"], [F.col("phase"), F.col("stable_key")], MAX_IDENTITIES).drop("_rn")
 
 
 def video_attribution(network: DataFrame, players: DataFrame) -> DataFrame:
@@ -173,10 +149,9 @@ def video_attribution(network: DataFrame, players: DataFrame) -> DataFrame:
     path = U.path(F.col("url"))
     vast = U.is_vast(path)
     failed = F.col("error_text").isNotNull() | F.coalesce(F.col("status") >= 400, F.lit(False))
-    capped = lambda condition: F.least(F.count_if(condition), F.lit(MAX_VIDEO_REQUESTS).cast("bigint"))
     seen = network.groupBy("run_id").agg(
-        capped(vast).alias("vast"), capped(vast & failed).alias("vast_errors"),
-        capped(U.is_media(path, F.col("resource_type")) & ~vast).alias("media"),
+        F.count_if(vast).alias("vast"), F.count_if(vast & failed).alias("vast_errors"),
+        F.count_if(U.is_media(path, F.col("resource_type")) & ~vast).alias("media"),
     )
     counts = players.groupBy("run_id").agg(F.count("*").alias("player_count"))
     runs = seen.join(counts, "run_id", "full_outer")
@@ -216,7 +191,7 @@ def largest_session(samples: Column) -> Column:
             F.greatest(acc["best"], total).alias("best"),
         )
 
-    return F.aggregate(F.array_sort(samples), start, step, lambda acc: F.least(acc["best"], F.lit(MAX_CLS)))
+    return F.aggregate(F.array_sort(samples), start, step, lambda acc: acc["best"])
 
 
 def cls_sessions(shifts: DataFrame, keys: list[str]) -> DataFrame:
@@ -240,7 +215,7 @@ PERF_SCHEMA = """supported_entry_types ARRAY<STRING>, was_hidden BOOLEAN, lcp_ca
  layout_shifts ARRAY<ARRAY<DOUBLE>>, interactions ARRAY<ARRAY<DOUBLE>>, long_task_count DOUBLE, long_task_total_ms DOUBLE,
  navigation MAP<STRING, DOUBLE>, errors ARRAY<STRING>,
  samples_truncated STRUCT<interaction: BOOLEAN, layout_shift: BOOLEAN, lcp: BOOLEAN>"""
-MAX_TIME_MS, MAX_SAMPLES = 86_400_000.0, 2_000
+MAX_TIME_MS = 86_400_000.0
 # --- fixed values: observer error codes -----------------------------------------------------
 OBSERVER_ERRORS = (
     "EVENT_OBSERVER_ERROR",
@@ -256,8 +231,8 @@ def _ok(value: Column, maximum: float = MAX_TIME_MS) -> Column:
 
 
 def _pairs(value: Column, maximum: float) -> Column:
-    head = F.filter(F.slice(value, 1, MAX_SAMPLES), lambda p: F.size(p) == 2)
-    shaped = F.transform(head, lambda p: F.struct(_ok(p[0]).alias("t"), _ok(p[1], maximum).alias("v")))
+    full = F.filter(value, lambda p: F.size(p) == 2)
+    shaped = F.transform(full, lambda p: F.struct(_ok(p[0]).alias("t"), _ok(p[1], maximum).alias("v")))
     return F.filter(shaped, lambda s: s["t"].isNotNull() & s["v"].isNotNull())
 
 
@@ -267,7 +242,7 @@ def perf_summary(snapshots: DataFrame) -> DataFrame:
     p = lambda name: F.col(f"p.{name}")
     has = lambda kind: F.coalesce(F.array_contains(p("supported_entry_types"), kind), F.lit(False))
     hidden = F.coalesce(p("was_hidden"), F.lit(False))
-    lcp = F.array_max(F.filter(F.slice(p("lcp_candidates"), 1, MAX_SAMPLES), lambda v: (v >= 0) & (v <= MAX_TIME_MS)))
+    lcp = F.array_max(F.filter(p("lcp_candidates"), lambda v: (v >= 0) & (v <= MAX_TIME_MS)))
     shifts = F.coalesce(_pairs(p("layout_shifts"), MAX_CLS), F.array().cast("array<struct<t:double,v:double>>"))
     touched = F.filter(_pairs(p("interactions"), MAX_TIME_MS), lambda s: (F.floor(s["t"]) > 0) & (s["t"] <= 1_000_000_000))
     inp = F.array_max(F.transform(touched, lambda s: s["v"]))
@@ -276,7 +251,7 @@ def perf_summary(snapshots: DataFrame) -> DataFrame:
     df = df.withColumn("inp_ms", F.when(has("event"), inp))
     nav = F.coalesce(p("navigation"), F.create_map().cast("map<string,double>"))
     load = _ok(F.try_element_at(nav, F.lit("load_event_end")))
-    errors = F.array_sort(F.array_distinct(F.filter(F.slice(p("errors"), 1, 20), lambda e: e.isin(*OBSERVER_ERRORS))))
+    errors = F.array_sort(F.array_distinct(F.filter(p("errors"), lambda e: e.isin(*OBSERVER_ERRORS))))
     cut = [F.coalesce(p(f"samples_truncated.{n}"), F.lit(False)) for n in ("interaction", "layout_shift", "lcp")]
     backgrounded = hidden & (has("largest-contentful-paint") | has("layout-shift"))
     # Backgrounding is noted at the first metric it concerns.
@@ -313,12 +288,11 @@ def perf_summary(snapshots: DataFrame) -> DataFrame:
 
 
 def slot_rows(snapshots: DataFrame) -> DataFrame:
-    """Observed ad slots: the first 200 entries of a run, a later entry of the same key wins.
+    """Observed ad slots: of the entries of one key the last one wins.
 
     Snapshots: run_id, pos, ad_unit_path, element_id and nullable times.
     """
-    first = top_n(snapshots, ["run_id"], [F.col("pos")], MAX_SLOTS).drop("_rn")
-    keyed = first.withColumn("stable_key", T.slot_key(F.col("ad_unit_path"), F.col("element_id"))).where("stable_key IS NOT NULL")
+    keyed = snapshots.withColumn("stable_key", T.slot_key(F.col("ad_unit_path"), F.col("element_id"))).where("stable_key IS NOT NULL")
     return first_per_key(keyed, ["run_id", "stable_key"], [F.col("pos").desc()])
 
 
@@ -356,7 +330,7 @@ def consent_state(snapshots: DataFrame) -> DataFrame:
     return df.select(
         "run_id", F.coalesce(c("tcfApiDetected"), F.lit(False)).alias("api_detected"), whole(c("apiReadyAtMs")).alias("api_ready_ms"),
         c("latest.gdprApplies").alias("gdpr_applies"), T.consent_hash(c("latest.tcString")).alias("tc_hash"),
-        whole(c("latest.cmpId")).alias("cmp_id"), F.substring(F.trim(c("latest.eventStatus")), 1, 30).alias("event_status"),
+        whole(c("latest.cmpId")).alias("cmp_id"), F.trim(c("latest.eventStatus")).alias("event_status"),
     )
 
 

@@ -277,12 +277,11 @@ def persist_pack(packs: DataFrame, existing: DataFrame) -> DataFrame:
     return packs.where(F.col("content_bytes") <= PACK_BYTES).dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
 
 
-def timeline(events: DataFrame, notes: DataFrame, n: int = 100) -> DataFrame:
+def timeline(events: DataFrame, notes: DataFrame, n: int) -> DataFrame:
     """Per site up to ``n`` newest events, then up to ``n`` newest notes; the two are not merged.
 
     Both: site, at, id, detail; events also precision and occurred_before.
     """
-    n = min(max(n, 1), 200)
     newest = [F.col("at").desc(), F.col("id").desc()]
     a = top_n(events, ["site"], newest, n, "position").select(
         "site", F.lit(0).alias("section"), "position", "id", "at", "detail",

@@ -24,11 +24,13 @@ def point_series_extract(points: DataFrame, series: DataFrame, extracts: DataFra
     ).join(extracts.select("extract_id", "site", F.col("status").alias("extract_status")), ["extract_id", "site"])
 
 
-def source_points(points: DataFrame, series: DataFrame, extracts: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Hourly points of complete extracts whose period lies inside [start, end]."""
-    inside = points.where(
-        (F.col("period_start") >= start) & (F.col("period_end") <= end) & F.col("source").isin("GA4", "GAM")
-    )
+def source_points(points: DataFrame, series: DataFrame, extracts: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Hourly points of complete extracts whose period lies inside [start, end]; a bound not given is open."""
+    inside = points.where(F.col("source").isin("GA4", "GAM"))
+    if start is not None:
+        inside = inside.where(F.col("period_start") >= start)
+    if end is not None:
+        inside = inside.where(F.col("period_end") <= end)
     return point_series_extract(
         inside, series.where(F.col("granularity") == "HOUR"), extracts.where(F.col("status") == "COMPLETE")
     ).drop("granularity", "extract_status")
@@ -256,7 +258,7 @@ def divergence(left: DataFrame, right: DataFrame, keys: list[str], tolerance: fl
     )
 
 
-def series_head(points: DataFrame, n: int = 200) -> DataFrame:
+def series_head(points: DataFrame, n: int) -> DataFrame:
     """First ``n`` points per series by period."""
     return top_n(points, ["series_id"], [F.col("period_start"), F.col("point_id")], n, "position")
 

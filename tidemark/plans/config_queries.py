@@ -150,7 +150,7 @@ def page_seo(t):
 SQL_ATTRS = """'(?i)\\s(aria-hidden|data-ad-unit|data-testid|defer|hidden|id|itemprop|name|property|rel|role|type)(?:\\s*=\\s*"[^"]*")?'"""
 
 
-@query("page_structure", f"""SELECT B(page_id) AS page_id, B(least(len(tags), 20000)) AS node_count, len(tags) > 20000 AS truncated, sha256(array_to_string(list_transform(tags[1:20000], lambda g:
+@query("page_structure", f"""SELECT B(page_id) AS page_id, B(len(tags)) AS node_count, sha256(array_to_string(list_transform(tags, lambda g:
     array_to_string(list_concat([lower(regexp_extract(g, '^<([a-zA-Z][a-zA-Z0-9]*)', 1))], list_sort(list_transform(regexp_extract_all(g, {SQL_ATTRS}), lambda a: {sql_mask('lower(a)')}))), ' ')), chr(10))) AS structure_hash
     FROM (SELECT page_id, regexp_extract_all(html, '<[a-zA-Z][a-zA-Z0-9]*(?:\\s[^<>]*)?>') AS tags FROM pages)""")
 def page_structure(t):

@@ -235,10 +235,10 @@ def status_changes(t):
     return L.status_changes(pairs(t), t.netcounts).select("snapshot_id", "member")
 
 
-@query("bounded_changes", SQL_CHANGES + """ SELECT B(snapshot_id) AS snapshot_id, component, kind, stable_key, B(rn) AS position, B(n) AS change_count, n > 3 AS truncated
-    FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY component, kind, stable_key) AS rn, count(*) OVER (PARTITION BY snapshot_id) AS n FROM changes) WHERE rn <= 3""")
+@query("bounded_changes", SQL_CHANGES + """ SELECT B(snapshot_id) AS snapshot_id, component, kind, stable_key, B(rn) AS position, B(n) AS change_count, n > 200 AS truncated
+    FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY component, kind, stable_key) AS rn, count(*) OVER (PARTITION BY snapshot_id) AS n FROM changes) WHERE rn <= 200""")
 def bounded_changes(t):
-    return L.bounded_changes(compared(t)[1], 3).select(
+    return L.bounded_changes(compared(t)[1], 200).select(
         "snapshot_id", "component", "kind", "stable_key", big("position").alias("position"), "change_count", "truncated"
     )
 

@@ -25,8 +25,8 @@ def network_agg(t):
     return V.network_agg(t.net)
 
 
-@query("network_state", "WITH " + SQL_NET + """ SELECT B(run_id) AS run_id, B(count(*)) AS dependencies, count(*) > 2000 AS truncated,
-    sha256(string_agg(line, '|' ORDER BY line)) AS state_hash FROM (SELECT run_id, concat_ws(':', stable_key, requests, failures, s4, s5) AS line FROM agg) GROUP BY 1""")
+@query("network_state", "WITH " + SQL_NET + """ SELECT B(run_id) AS run_id, B(count(*)) AS dependencies,
+    sha256(concat_ws('|', count(*)::VARCHAR, bit_xor(H60(line))::VARCHAR, bit_xor(CAST('0x' || substr(md5(line), 16, 15) AS BIGINT))::VARCHAR)) AS state_hash FROM (SELECT run_id, concat_ws(':', stable_key, requests, failures, s4, s5) AS line FROM agg) GROUP BY 1""")
 def network_state(t):
     return V.network_state(V.network_agg(t.net))
 
@@ -44,7 +44,8 @@ def js_errors(t):
 
 @query("script_set", f"""WITH k AS (SELECT DISTINCT page_id, {sql_host('u')} || '|' || {sql_family(sql_path('u'))} || '|script' AS k FROM (SELECT page_id,
         regexp_extract(url, '^https?://[^/?#]*', 0) || href AS u FROM {{hrefs}}) WHERE {sql_host('u')} IS NOT NULL)
-    SELECT B(page_id) AS run_id, B(count(*)) AS scripts, false AS truncated, sha256(string_agg(k, chr(10) ORDER BY k)) AS state_hash FROM k GROUP BY 1""")
+    SELECT B(page_id) AS run_id, B(count(*)) AS scripts,
+    sha256(concat_ws('|', count(*)::VARCHAR, bit_xor(H60(k))::VARCHAR, bit_xor(CAST('0x' || substr(md5(k), 16, 15) AS BIGINT))::VARCHAR)) AS state_hash FROM k GROUP BY 1""")
 def script_set(t):
     absolute = F.concat(F.regexp_extract("url", r"^https?://[^/?#]*", 0), C("href"))
     return V.script_set(t.hrefs.select(C("page_id").alias("run_id"), absolute.alias("url")))
@@ -196,6 +197,6 @@ def consent_state(t):
 @query("access_class", """SELECT B(run_id) AS run_id, CASE WHEN navigation_failed THEN 'degraded' WHEN m IS NOT NULL THEN 'challenge_suspected' WHEN http_status >= 300 THEN 'degraded' ELSE 'ok' END AS state,
     CASE WHEN navigation_failed THEN 'navigation failed' WHEN m IS NOT NULL THEN 'deterministic challenge markers observed: ' || m WHEN http_status >= 300 THEN 'unexpected HTTP status ' || http_status
     ELSE 'no access anomalies in bounded signal set' END AS reason FROM (SELECT *, CASE WHEN contains(b, 'captcha') THEN 'captcha' WHEN contains(b, 'access denied') THEN 'access denied' END AS m
-    FROM (SELECT *, lower(substr(body, 1, 100000)) AS b FROM {access_runs}))""")
+    FROM (SELECT *, lower(body) AS b FROM {access_runs}))""")
 def access_class(t):
     return V.access_class(t.access_runs).select("run_id", "state", "reason")

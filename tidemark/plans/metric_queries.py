@@ -33,7 +33,9 @@ SQL_BEST = """
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, period_start, period_end
         ORDER BY CASE freshness WHEN 'MATURE' THEN 2 WHEN 'PRELIMINARY' THEN 1 ELSE 0 END DESC,
         retrieved_at DESC, point_id DESC) AS rn FROM {points}) WHERE rn = 1)"""
-SQL_RATIO = SQL_BEST + """,
+SQL_RATIO = SQL_BEST.replace("SELECT *, row_number()", "SELECT p.*, row_number()").replace("PARTITION BY series_id", "PARTITION BY p.series_id").replace("retrieved_at DESC", "p.retrieved_at DESC").replace(
+    "FROM {points})", """FROM {points} p JOIN {series} s ON s.series_id = p.series_id AND s.site = p.site JOIN {extracts} e ON e.extract_id = p.extract_id AND e.site = p.site
+        WHERE s.granularity = 'HOUR' AND e.status = 'COMPLETE')""") + """,
     tagged AS (SELECT b.*, r.ratio_code, r.role FROM best b JOIN {roles} r USING (metric_code)),
     agg AS (SELECT site, ratio_code, period_start, period_end,
         sum(CASE WHEN role = 'NUMERATOR' THEN value END) AS numerator,
@@ -53,8 +55,13 @@ SQL_RATIO = SQL_BEST + """,
             input_fingerprint)) END AS derivation_key FROM ratio)"""
 
 
+def eligible(t):
+    """What ratios may be derived from: hourly points of complete extracts."""
+    return M.source_points(t.points, t.series, t.extracts)
+
+
 def _ratios(t):
-    return M.ratio_derive(t.points, catalogs.ratio_roles(t.spark))
+    return M.ratio_derive(eligible(t), catalogs.ratio_roles(t.spark))
 
 
 @query(
@@ -166,16 +173,17 @@ def derivation_key(t):
     "WITH" + SQL_RATIO + """,
     edge AS (SELECT g.*, k.derivation_key FROM tagged g JOIN keyed k USING (site, ratio_code, period_start, period_end) WHERE k.alignment = 'OK')
     SELECT e.derivation_key, e.ratio_code, e.role, B(e.point_id) AS point_id,
-        CASE WHEN e.point_id % 97 = 0 THEN 'INPUT_VANISHED' WHEN x.status <> 'COMPLETE' THEN 'EXTRACT_NOT_COMPLETE' ELSE 'SEMANTICS_CHANGED' END AS reason
-    FROM edge e JOIN {series} s USING (series_id) JOIN {extracts} x ON x.extract_id = e.extract_id
-    WHERE e.point_id % 97 = 0 OR x.status <> 'COMPLETE' OR s.granularity <> 'HOUR'""",
+        CASE WHEN e.point_id % 97 = 0 THEN 'INPUT_VANISHED' WHEN right(e.extract_id, 1) = '7' THEN 'EXTRACT_NOT_COMPLETE' ELSE 'SEMANTICS_CHANGED' END AS reason
+    FROM edge e WHERE e.point_id % 97 = 0 OR right(e.extract_id, 1) = '7' OR right(e.series_id, 1) = '8'""",
 )
 def lineage_recheck(t):
     roles = catalogs.ratio_roles(t.spark)
-    edges = M.ratio_inputs(t.points, roles, _ratios(t))
-    # The store the ratios are checked against: points whose id is divisible by 97 have been withdrawn since.
+    edges = M.ratio_inputs(eligible(t), roles, _ratios(t))
+    # What has changed since the ratios were derived: points were withdrawn, extracts of some days turned partial, series became daily.
     stored = t.points.where(F.col("point_id") % 97 != 0)
-    return M.lineage_recheck(edges, stored, t.series, t.extracts, roles)
+    extracts = t.extracts.withColumn("status", F.when(F.substring("extract_id", -1, 1) == "7", "PARTIAL").otherwise(F.col("status")))
+    series = t.series.withColumn("granularity", F.when(F.substring("series_id", -1, 1) == "8", "DAY").otherwise(F.col("granularity")))
+    return M.lineage_recheck(edges, stored, series, extracts, roles)
 
 
 frame(
@@ -259,7 +267,7 @@ def divergence(t):
     (PARTITION BY series_id ORDER BY period_start, point_id) AS rn FROM {points}) WHERE rn <= 200""",
 )
 def series_head(t):
-    return M.series_head(t.points).select("series_id", big("position").alias("position"), "point_id")
+    return M.series_head(t.points, 200).select("series_id", big("position").alias("position"), "point_id")
 
 
 @query(
@@ -275,12 +283,9 @@ def dual_source_sites(t):
     "monetization_visible",
     """WITH rule AS (SELECT site, max(CASE visibility WHEN 'ABSOLUTE' THEN 2 WHEN 'RELATIVE_ONLY' THEN 1 ELSE 0 END) AS level
         FROM {connections} WHERE provider = 'GAM' AND NOT archived GROUP BY 1)
-    SELECT series_id, B(rn) AS position, B(point_id) AS point_id FROM (
-      SELECT p.*, row_number() OVER (PARTITION BY p.series_id ORDER BY p.period_start, p.point_id) AS rn FROM {points} p
+    SELECT p.series_id, B(p.point_id) AS point_id FROM {points} p
       JOIN {series} s ON s.series_id = p.series_id AND s.site = p.site JOIN rule r ON r.site = s.site
-      WHERE s.source = 'GAM' AND r.level > 0 AND (r.level = 2 OR s.unit <> 'CURRENCY')) WHERE rn <= 200""",
+      WHERE s.source = 'GAM' AND r.level > 0 AND (r.level = 2 OR s.unit <> 'CURRENCY')""",
 )
 def monetization_visible(t):
-    return M.series_head(M.monetization_visible(t.connections, t.series, t.points)).select(
-        "series_id", big("position").alias("position"), "point_id"
-    )
+    return M.monetization_visible(t.connections, t.series, t.points).select("series_id", "point_id")

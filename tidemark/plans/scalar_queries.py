@@ -19,16 +19,16 @@ C = F.col
 
 def sql_mask(x: str) -> str:
     return (
-        f"substr(trim(regexp_replace(regexp_replace(regexp_replace({x}, '(?i)(?:[0-9a-f]{{{{8}}}}-[0-9a-f-]{{{{27,}}}}|\\b[0-9a-f]{{{{12,}}}}\\b)', ':token', 'g'),"
-        f" '\\d{{{{4,}}}}', ':number', 'g'), '\\s+', ' ', 'g')), 1, 300)"
+        f"trim(regexp_replace(regexp_replace(regexp_replace({x}, '(?i)(?:[0-9a-f]{{{{8}}}}-[0-9a-f-]{{{{27,}}}}|\\b[0-9a-f]{{{{12,}}}}\\b)', ':token', 'g'),"
+        f" '\\d{{{{4,}}}}', ':number', 'g'), '\\s+', ' ', 'g'))"
     ).replace("{{", "{").replace("}}", "}")
 
 
 def sql_family(x: str) -> str:
     parts = (
         f"array_to_string(list_transform(list_filter(string_split({x}, '/'), lambda p: p <> ''), lambda p: "
-        "CASE WHEN regexp_full_match(substr(p, 1, 120), '(?i)(?:\\d+|[0-9a-f]{12,}|[0-9a-f-]{32,})') THEN ':id' ELSE "
-        + sql_mask("substr(p, 1, 120)") + " END), '/')"
+        "CASE WHEN regexp_full_match(p, '(?i)(?:\\d+|[0-9a-f]{12,}|[0-9a-f-]{32,})') THEN ':id' ELSE "
+        + sql_mask("p") + " END), '/')"
     )
     return f"(SELECT CASE WHEN length(w) > 500 THEN substr(w, 1, 480) || '~' || substr(sha256(w), 1, 16) ELSE w END FROM (SELECT '/' || {parts} AS w))"
 
@@ -52,7 +52,7 @@ def sql_category(h: str, p: str) -> str:
 
 
 def sql_type(x: str) -> str:
-    return f"(CASE WHEN coalesce({x}, '') = '' THEN 'other' ELSE substr(lower({x}), 1, 50) END)"
+    return f"(CASE WHEN coalesce({x}, '') = '' THEN 'other' ELSE lower({x}) END)"
 
 
 def sql_key(u: str, k: str) -> str:
@@ -73,8 +73,8 @@ def mask_volatile(t):
 @query(
     "safe_tokens",
     f"""SELECT B(conv_id) AS conv_id, B(turn) AS turn, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(
-        regexp_split_to_array(trim(text), '\\s+'), lambda r: substr(regexp_replace({sql_mask('r')}, '[^a-zA-Z0-9_:-]+', '', 'g'), 1, 100)),
-        lambda x: x <> '')))[1:20], ' '), '') AS tokens FROM conversations""",
+        regexp_split_to_array(trim(text), '\\s+'), lambda r: regexp_replace({sql_mask('r')}, '[^a-zA-Z0-9_:-]+', '', 'g')),
+        lambda x: x <> ''))), ' '), '') AS tokens FROM conversations""",
 )
 def safe_tokens(t):
     return t.conversations.select("conv_id", "turn", T.safe_tokens(C("text")).alias("tokens"))
@@ -93,8 +93,8 @@ def dependency_category(t):
     ).agg(F.count("*").alias("uses"))
 
 
-SQL_VAST = "regexp_matches(lower(substr(p, 1, 2000)), '(?:^|[/_.-])(vast|vmap|video-?ad|ad-?tag)(?:[/_.-]|$)')"
-SQL_MEDIA = "(resource_type = 'media' OR regexp_matches(lower(substr(p, 1, 2000)), '\\.(m3u8|m4s|mp4|mpd|ogg|ogv|ts|webm)$'))"
+SQL_VAST = "regexp_matches(lower(p), '(?:^|[/_.-])(vast|vmap|video-?ad|ad-?tag)(?:[/_.-]|$)')"
+SQL_MEDIA = "(resource_type = 'media' OR regexp_matches(lower(p), '\\.(m3u8|m4s|mp4|mpd|ogg|ogv|ts|webm)$'))"
 SQL_AD = "(regexp_matches(h, 'doubleclick|googlesyndication|securepubads') OR contains(lower(p), '/gampad/ads'))"
 SQL_BID = "(contains(lower(p), '/openrtb2/auction') OR contains(lower(p), '/openrtb2/amp'))"
 frame("netparts", f"SELECT *, {sql_host('url')} AS h, {sql_path('url')} AS p FROM {{net}}", spark_sql="SELECT * FROM {net}")
@@ -197,8 +197,8 @@ _AUTH = "'^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^/?#]*)'"
         ELSE origin || CASE WHEN regexp_extract(bp, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(bp, '^(.*/)', 1) END || ref END AS u FROM a),
     c AS (SELECT page_id, u, {sql_host('u')} AS h, lower(regexp_extract(u, {_SCHEME}, 1)) AS s,
         regexp_extract(regexp_extract(u, {_AUTH}, 1), ':(\\d+)$', 1) AS port, {sql_path('u')} AS p, regexp_extract(u, '^[^?#]*\\?([^#]*)', 1) AS q FROM b)
-    SELECT B(page_id) AS page_id, CASE WHEN s IN ('http', 'https') AND h IS NOT NULL THEN substr(s || '://' || h || CASE WHEN port <> '' THEN ':' || port ELSE '' END ||
-        CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN q <> '' THEN '?' || q ELSE '' END, 1, 2048) END AS canonical FROM c""")
+    SELECT B(page_id) AS page_id, CASE WHEN s IN ('http', 'https') AND h IS NOT NULL THEN s || '://' || h || CASE WHEN port <> '' THEN ':' || port ELSE '' END ||
+        CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS canonical FROM c""")
 def canonical_url(t):
     return t.hrefs.select("page_id", U.canonical_url(C("href"), C("url")).alias("canonical"))
 

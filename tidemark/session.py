@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -53,7 +54,12 @@ def _local_folder() -> str:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the checkpoint folder the cluster names.
 
-    Only where the session names none (tests on one machine) a temporary folder stands in.
+    Only where the session names none and runs in one process (tests) a temporary folder stands in; on a cluster the
+    executors would not share it, and what they write there would be read back in part without an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
