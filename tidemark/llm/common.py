@@ -25,6 +25,29 @@ def stored(spark: SparkSession, frame: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it new to docs (Spark compares names without case)."""
+    known = {c.lower() for c in docs.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def shielded(docs: DataFrame, reserved: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns out of the way of reserved names, and what gives a result docs' columns back.
+
+    Names with a dot move as well: Spark's Python passes take them for fields.
+    """
+    names, held = docs.columns, docs
+    taken = {r.lower() for r in reserved}
+    moved = {}
+    for column in names:
+        if column.lower() in taken or "." in column:
+            moved[column] = free_name(held, column.replace(".", "_") + "__")
+            held = held.withColumnRenamed(column, moved[column])
+    return held, lambda result: result.select(*(F.col(f"`{moved.get(c, c)}`").alias(c) for c in names))
+
+
 def in_batches(frame: DataFrame, function: Callable, schema) -> DataFrame:
     """mapInPandas in Arrow batches small enough for whole texts: fewer rows, and fewer bytes where Spark bounds those."""
     conf = frame.sparkSession.conf

@@ -83,13 +83,16 @@ def hit_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
+ADDED = ["n_words", "hit_starts", "hit_stops", "span_starts", "span_stops", "item_ids"]
+
+
 def scan_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, hit_starts, hit_stops (merged word ranges), span_starts, span_stops (code points), item_ids.
 
     Null texts have no words; repeated rows are scanned alike; items without words are never found; items without
     id are hit but not named; an empty benchmark hits nothing. Columns of docs pass unchanged unless they bear one of the added names.
     """
-    added = ["n_words", "hit_starts", "hit_stops", "span_starts", "span_stops", "item_ids"]
+    added = ADDED
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("name"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     longest = items.agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()[0]

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_batches
+from tidemark.llm.common import free_name, in_batches
 
 UNDETERMINED = "und"
 WINDOW_BYTES = 128
@@ -115,17 +115,21 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, seed: int = 7) -
 def training_sample(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, lang): at most sample_rows labelled rows, even over the languages, in pieces of bounded length.
 
-    The languages' counts are the only thing gathered before it; a row enters where the hash of its doc_id falls
-    under its language's share, so no language is ordered or windowed as a whole.
+    A row enters where the hash of its doc_id falls under its language's share, so no language is ordered or windowed as
+    a whole. What is sent to every task is one count per language, which the network's output layer must hold
+    as well, and then the keys of at most sample_rows rows; texts are not shuffled before they are chosen.
     """
-    named = docs.where("lang IS NOT NULL AND text rlike '\\\\p{L}'").select("doc_id", "text", "lang")
+    named = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text rlike '\\\\p{L}'")
     counts = named.groupBy("lang").count()
     share = F.lit(float(sample_rows)) / F.count("*").over(_everything()) / F.col("count")
     unit = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = named.join(counts.select("lang", share.alias("share")), "lang").where(unit < F.col("share"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    rated = named.select("doc_id", "lang").join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(unit < F.col("share"))
+    keys = rated.orderBy(*order).limit(sample_rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    chosen = named.join(F.broadcast(keys), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
     spread = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - PIECE_CHARS, F.lit(1))).cast("int") + 1 for k in range(PIECES)]
     pieces = F.array_distinct(F.array(*(F.col("text").substr(at, F.lit(PIECE_CHARS)) for at in spread)))
-    return chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(F.explode(pieces).alias("text"), "lang")
+    return chosen.orderBy(*order).limit(sample_rows).select(F.explode(pieces).alias("text"), "lang")
 
 
 def _everything():
@@ -135,10 +139,23 @@ def _everything():
     return Window.partitionBy()
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteNet | None:
-    """A network from labelled rows; None without any."""
+def scrambled(text: str, seed: int) -> str:
+    """The text's characters in random order: no language, but the same letters."""
+    return "".join(np.random.default_rng(seed).permutation(list(text)))
+
+
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, with_reject: bool = False) -> ByteNet | None:
+    """A network from labelled rows; None without any.
+
+    With a reject class every fourth piece is learned a second time with its characters in random order, as `und`:
+    a text without the byte sequences of any language then has a class of its own to go to.
+    """
     rows = training_sample(docs, sample_rows).toPandas().sort_values(["lang", "text"])
-    return train(rows["text"].tolist(), rows["lang"].tolist()) if len(rows) else None
+    texts, names = rows["text"].tolist(), rows["lang"].tolist()
+    if with_reject:
+        noise = [scrambled(t, k) for k, t in enumerate(texts[::4])]
+        texts, names = texts + noise, names + [UNDETERMINED] * len(noise)
+    return train(texts, names) if len(rows) else None
 
 
 def score_texts(net: ByteNet, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -160,17 +177,19 @@ def score_texts(net: ByteNet, texts: list[str]) -> tuple[list[str], list[float]]
 def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """docs with lang_pred and score; `und` and 0 where a text is null or has no letter, or nothing was learned.
 
-    Every other column passes unchanged (columns named lang_pred or score are replaced).
+    Texts are read whole; equal texts, repeated rows included, get equal answers, and of languages that tie the first by name
+    counts. An empty table gives no rows. Every other column passes unchanged (columns named lang_pred or score are replaced).
     """
     base = docs.drop("lang_pred", "score")
-    rated = base.withColumn("_letters", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+    mark = free_name(base, "_letters")
+    rated = base.withColumn(mark, F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     schema = base.schema
     for name, kind in (("lang_pred", "string"), ("score", "double")):
         schema = schema.add(name, kind)
 
     def rate(frames):
         for frame in frames:
-            letters = frame.pop("_letters").to_numpy(bool)
+            letters = frame.pop(mark).to_numpy(bool)
             names, scores = np.full(len(frame), UNDETERMINED, object), np.zeros(len(frame))
             rows = np.flatnonzero(letters) if net else []
             for a in range(0, len(rows), 128):
