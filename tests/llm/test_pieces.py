@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from tidemark.llm import wavelet
 from tidemark.llm.common import table
 from tidemark.llm.queries import tokenizer_path
@@ -33,3 +35,28 @@ def test_memory_is_bounded_and_other_tokenizers_read_whole_texts():
     assert len(encode.known) <= 50 + 31
     other = wavelet.PieceEncoder(tokenizer_path("byte_bpe_50k.json"))
     assert not other.by_piece and other(["a  b"])[0].tolist() == other.plain(["a  b"])[0]
+
+
+def test_pieces_of_plain_words_tell_their_ends():
+    encode = wavelet.PieceEncoder(tokenizer_path())
+    assert len(encode.last)
+    cores = ["a", "Ab", "don", "ÉTÉ", "straße", "ŁÓDŹ", "ǅ", "ŉ", "ªº", "İi", "ﬁ", "ΟΔΟΣ", "é", "日本", "ɐ", "", "A" * 500]
+    pieces = [c + t for c in cores for t in ("", ".", ",", "?!#$%&", "*", "'s", "'S.", "-x", ")", "1", "…", "\x0b", "\x1c")]
+    pieces += [p for q in pieces for p in (f"({q}", q + q)]
+    assert [x.tolist() for x in encode([" ".join(pieces)])] == encode.plain([" ".join(pieces)])
+    for piece in pieces:
+        fresh = encode.known.get(piece)
+        assert list(memoryview(fresh).cast("I")) == encode.plain([piece])[0]
+    encode.known.clear()
+    # tokens that do not tell the ends are taken the other way
+    encode.last[:] = True
+    assert [x.tolist() for x in encode([" ".join(pieces)])] == encode.plain([" ".join(pieces)])
+
+
+def test_planes_of_narrow_and_wide_ids():
+    rng = np.random.default_rng(3)
+    for most in (1, 2, 65_535, 65_536, 200_000):
+        ids = np.append(rng.integers(0, most, 1000), most).astype(np.uint32)
+        back = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.of(ids, np.array([400, 601])).to_bytes())
+        assert back.all_ids().tolist() == ids.tolist() == back.access(np.arange(1001)).tolist()
+        assert back.doc_lengths.tolist() == [400, 601]

@@ -15,6 +15,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,25 +43,26 @@ class WaveletMatrix:
     def of(cls, ids: np.ndarray, doc_lengths: np.ndarray) -> WaveletMatrix:
         ids = np.asarray(ids, np.uint32)
         depth = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+        ids = ids.astype(np.uint16) if depth <= 16 else ids
         planes = []
         for k in range(depth - 1, -1, -1):
-            bits = ((ids >> np.uint32(k)) & np.uint32(1)).astype(bool)
+            bits = (ids & ids.dtype.type(1 << k)) != 0
             packed = np.packbits(np.pad(bits, (0, -len(bits) % 64)), bitorder="little")
             planes.append(packed.view(np.uint64))
             ids = np.concatenate([ids[~bits], ids[bits]])
         return cls(planes, len(ids), np.asarray(doc_lengths, np.int64))
 
     def to_bytes(self) -> bytes:
-        head = HEAD.pack(MAGIC, 1, self.n, len(self.doc_lengths), len(self.words))
+        head = HEAD.pack(MAGIC, 2, self.n, len(self.doc_lengths), len(self.words))
         body = self.doc_lengths.astype("<i8").tobytes() + b"".join(w.astype("<u8").tobytes() for w in self.words)
-        return head + zlib.compress(body, 1)
+        return head + zstandard.ZstdCompressor(1).compress(body)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
         magic, version, n, docs, depth = HEAD.unpack_from(data)
-        if magic != MAGIC or version != 1:
+        if magic != MAGIC or version != 2:
             raise ValueError("not a wavelet-matrix shard")
-        body = zlib.decompress(data[HEAD.size :])
+        body = zstandard.ZstdDecompressor().decompress(data[HEAD.size :])
         lengths = np.frombuffer(body, "<i8", docs)
         size = (n + 63) // 64
         planes = [np.frombuffer(body, "<u8", size, docs * 8 + k * size * 8) for k in range(depth)]
@@ -86,14 +88,15 @@ class WaveletMatrix:
 
     def all_ids(self) -> np.ndarray:
         """The whole sequence: each plane's stable partition is undone from the last plane up."""
-        ids = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.words) <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
         for k, plane in enumerate(reversed(range(len(self.words)))):
-            bits = np.unpackbits(self.words[plane].view(np.uint8), bitorder="little")[: self.n].astype(bool)
-            back = np.empty(self.n, np.uint32)
+            bits = np.unpackbits(self.words[plane].view(np.uint8), bitorder="little")[: self.n].view(bool)
+            back = np.empty(self.n, kind)
             back[~bits] = ids[: self.zeros[plane]]
-            back[bits] = ids[self.zeros[plane] :] | np.uint32(1 << k)
+            back[bits] = ids[self.zeros[plane] :] | kind(1 << k)
             ids = back
-        return ids
+        return ids.astype(np.uint32)
 
     def _interval(self, token: int, start: int, stop: int) -> tuple[int, int, list[tuple[bool, int]]]:
         depth = len(self.words)
@@ -135,7 +138,9 @@ class PieceEncoder:
     """Ids of texts, each piece between spaces, tabs and line breaks encoded once while it is remembered.
 
     Where the tokenizer drops white space and never looks across it, a text's ids are its pieces' ids in a row. New pieces are
-    encoded many at a time, with a special token between them that none of them holds. Any other tokenizer encodes whole texts.
+    encoded many at a time: those of Latin letters, with marks behind them or without, are told apart by the last tokens of
+    words, where the model marks these; between others stands a special token that none of them holds. Any other tokenizer
+    encodes whole texts.
     """
 
     PIECES = 700_000
@@ -150,6 +155,13 @@ class PieceEncoder:
         special = [(t.content, k) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<")]
         self.mark = special[-1] if special else None
         self.by_piece = self.mark is not None and self._drops_blanks()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab() if suffix else {}
+        self.last = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+        probe = ("ab", "Ab", "ab.", "ab?!#", "\u00c9t\u00e9", "\u00e9.,", "a", "aBaB*)")
+        if len(self.last) and any(self.last[ids].sum() != self._words(p) for p, ids in zip(probe, self.plain(list(probe)))):
+            self.last = self.last[:0]
 
     def _drops_blanks(self) -> bool:
         probe = ("a b", "A, b's <|x|> 12", "é e\u0301 ß", "…a -- b")
@@ -160,8 +172,34 @@ class PieceEncoder:
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _words(piece: str) -> int:
+        """Words of a piece where that is plain: Latin letters (1), or those and marks behind them (2); otherwise 0."""
+        core = piece.rstrip(".,;:!?#$%&*)")
+        if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
+            return 1 if len(core) == len(piece) else 2
+        return 0
+
+    def _learn_words(self, words: list[str], counts: list[int]) -> list[str]:
+        """Learn pieces of known numbers of words; returns those whose tokens do not tell where words end."""
+        unclear = []
+        parts = [words[a : a + 512] for a in range(0, len(words), 512)]
+        for k, (part, ids) in enumerate(zip(parts, self.plain([" ".join(p) for p in parts]))):
+            found, upto = np.array(ids, "<u4"), np.cumsum(counts[k * 512 : k * 512 + 512])
+            ends, data = np.flatnonzero(self.last[found]) + 1, found.tobytes()
+            if len(ends) == upto[-1] and ends[-1] == len(found):
+                cuts = (ends[upto - 1] * 4).tolist()
+                self.known.update((word, data[i:j]) for word, i, j in zip(part, [0, *cuts], cuts))
+            else:
+                unclear += part
+        return unclear
+
     def _learn(self, pieces: list[str]) -> None:
         mark, number = self.mark
+        if len(self.last):
+            counts = [self._words(p) for p in pieces]
+            unclear = self._learn_words([p for p, n in zip(pieces, counts) if n], [n for n in counts if n])
+            pieces = [p for p, n in zip(pieces, counts) if not n] + unclear
         alone = [p for p in pieces if "<" in p]
         self.known.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(alone, self.plain(alone)))
         rest = [p for p in pieces if "<" not in p]
