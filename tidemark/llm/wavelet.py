@@ -12,6 +12,8 @@ import os
 import struct
 import zlib
 from functools import cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
@@ -143,7 +145,7 @@ class PieceEncoder:
     encodes whole texts.
     """
 
-    PIECES = 700_000
+    PIECES = 1_200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -216,9 +218,12 @@ class PieceEncoder:
         if len(self.known) > self.PIECES:
             self.known.clear()
         self.known[""] = b""
-        self._learn(list(set().union(*split).difference(self.known)))
-        held = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(held, pieces)), "<u4") for pieces in split]
+        found = [list(map(self.known.get, pieces)) for pieces in split]
+        gaps = [k for k, ids in enumerate(found) if None in ids]
+        self._learn(list(set().union(*(compress(split[k], map(is_, found[k], repeat(None))) for k in gaps))))
+        for k in gaps:
+            found[k] = map(self.known.__getitem__, split[k])
+        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
 
 
 @cache
