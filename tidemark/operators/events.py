@@ -58,17 +58,24 @@ def noindex_cohort(pairs: DataFrame) -> DataFrame:
     )
 
 
-def slot_cohort(slots: DataFrame, min_affected: int = 2, min_valid: int = 2, critical: int = 3) -> DataFrame:
+def slot_cohort(slots: DataFrame, min_affected: int = 2, min_valid: int = 2, critical: int = 3, timed: bool = False) -> DataFrame:
     """Actions per cohort and slot; valid count = distinct URLs.
 
-    Slots: cohort keys, url_id, slot, present, previous_present (null when not seen before).
+    Slots: cohort keys, url_id, slot, present, previous_present (null when not seen before).  When ``timed``, slots also carry
+    previous_at and current_at, and an action occurred_after, occurred_before (of the runs that caused it) and detected_at.
     """
     missing, seen = ~F.col("present"), F.col("present")
+    lost = missing & F.coalesce("previous_present", F.lit(False))
+    spans = [
+        f(F.when(rows, F.col(c))).alias(f"_{name}_{c}") for name, rows in (("missing", missing), ("seen", seen), ("lost", lost)) if timed
+        for f, c in ((F.min, "previous_at"), (F.max, "current_at"))
+    ]
     groups = slots.groupBy(*COHORT, "slot").agg(
         F.count_if(missing).alias("affected_count"),
         F.count_if(seen).alias("healthy_count"),
-        F.count_if(missing & F.coalesce("previous_present", F.lit(False))).alias("transitions"),
+        F.count_if(lost).alias("transitions"),
         F.countDistinct("url_id").alias("valid_count"),
+        *spans,
     )
     enough = (F.col("affected_count") >= min_affected) & (F.col("valid_count") >= min_valid)
     action = either(
@@ -78,7 +85,14 @@ def slot_cohort(slots: DataFrame, min_affected: int = 2, min_valid: int = 2, cri
     )
     all_hit = (F.col("affected_count") >= critical) & (F.col("affected_count") == F.col("valid_count"))
     severity = F.when(F.col("action").isin("UPSERT", "SUPPORT") & all_hit, "CRITICAL").otherwise("HIGH")
-    return groups.withColumn("action", action).where(F.col("action").isNotNull()).withColumn("severity", severity)
+    acted = groups.withColumn("action", action).where(F.col("action").isNotNull()).withColumn("severity", severity)
+    if not timed:
+        return acted
+    caused = lambda c: either(
+        (F.col("action") == "UPSERT", F.col(f"_lost_{c}")), (F.col("action") == "SUPPORT", F.col(f"_missing_{c}")), otherwise=F.col(f"_seen_{c}")
+    )
+    detected = F.coalesce("_missing_current_at", "_seen_current_at")
+    return acted.withColumns({"occurred_after": caused("previous_at"), "occurred_before": caused("current_at"), "detected_at": detected})
 
 
 def in_complete_windows(pairs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -102,13 +116,14 @@ def candidate_union(local: DataFrame, cohort: DataFrame, keys: list[str]) -> Dat
 
 
 def condition_lifecycle(
-    actions: DataFrame, keys: list[str], order: list[str], bucket: Column | None = None
+    actions: DataFrame, keys: list[str], order: list[str], bucket: Column | None = None, weight: str | None = None
 ) -> DataFrame:
     """Fold UPSERT, SUPPORT and RESOLVE actions into episodes.
 
     Actions: keys, at, run_id, action, severity, affected_count, valid_count.  All actions of a run share its time, and
     ``order`` starts with time and run, so that they follow each other.  Only an UPSERT opens; what a run has to say once it
     counts for the open episode is ignored, a RESOLVE included; what it said before the episode opened does not count.
+    ``weight`` names a column with the number of runs an action rests on, one where it is not given.
     """
     bucket = time_bucket("at") if bucket is None else bucket
     line = Window.partitionBy(*keys, bucket).orderBy(*order)
@@ -128,7 +143,7 @@ def condition_lifecycle(
         F.max(F.when(F.col("_closes"), F.col("at"))).alias("ended_at"),
         F.max("at").alias("latest_observed_at"),
         severity_name(F.max(F.when(lives, severity_rank(F.col("severity"))))).alias("severity"),
-        F.count_if(lives).alias("supporting_count"),
+        (F.count_if(lives) if weight is None else F.sum(F.when(lives, F.col(weight)))).alias("supporting_count"),
         F.max(F.when(lives, F.col("affected_count"))).alias("affected_count"),
         F.max(F.when(lives, F.col("valid_count"))).alias("valid_count"),
         F.max(F.when(lives, F.when(F.col("affected_count") >= 2, 2).otherwise(1))).alias("blast_radius"),

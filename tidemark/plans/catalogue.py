@@ -1,6 +1,7 @@
 """Import every plan module so that its queries register."""
 
 from tidemark.plans import (  # noqa: F401
+    chain_queries,
     config_queries,
     event_queries,
     evidence_queries,

@@ -304,7 +304,7 @@ def candidate_union(t):
     return E.candidate_union(local, cohort, ["window_month", "slot"])
 
 
-def _sql_lifecycle(source: str, keys: str, order: str) -> str:
+def _sql_lifecycle(source: str, keys: str, order: str, weight: str = "1") -> str:
     """A plain fold, one row of every key at a time."""
     return f"""n AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn,
             run_id IS DISTINCT FROM lag(run_id) OVER (PARTITION BY {keys} ORDER BY {order}) AS fresh FROM {source}),
@@ -315,7 +315,7 @@ def _sql_lifecycle(source: str, keys: str, order: str) -> str:
         FROM f JOIN n ON n.rn = f.rn + 1 AND {" AND ".join(f"n.{k.strip()} = f.{k.strip()}" for k in keys.split(","))}),
     ep AS (SELECT {keys}, B(episode) AS episode, min(at) FILTER (counted) AS detected_at, max(at) FILTER (closed) AS ended_at,
         ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max(list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)) FILTER (counted)] AS severity,
-        B(count(*) FILTER (counted)) AS supporting_count, B(max(affected_count) FILTER (counted)) AS affected_count,
+        B(sum({weight}) FILTER (counted)) AS supporting_count, B(max(affected_count) FILTER (counted)) AS affected_count,
         B(max(valid_count) FILTER (counted)) AS valid_count FROM f WHERE counted OR closed GROUP BY {keys}, episode)"""
 
 

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RANK_TRIM_LIMIT = 10_000
 
@@ -63,3 +63,11 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("spark.checkpoint.dir names no shared folder")
         base = _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame written to the working folder and read again, for what several branches of a job read."""
+    spark = frame.sparkSession
+    path = work_folder(spark, purpose)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
