@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.shape import big, ts_text
+from tidemark.functions.shape import big, r6, ts_text
+from tidemark.operators import evaluation as V
 from tidemark.operators import investigate as I
+from tidemark.plans.lake import frame
 from tidemark.plans.registry import query
 
 C = F.col
@@ -238,3 +240,41 @@ def eval_passrate(t):
     GROUP BY ROLLUP (source, lang, difficulty, root_cause_status)""")
 def eval_coverage(t):
     return I.eval_coverage(t.corpus.select(C("source").alias("family"), C("lang").alias("eval_type"), "difficulty", C("root_cause_status").alias("outcome")))
+
+
+frame(
+    "gold_cases",
+    """
+    SELECT c_custkey AS case_id, c_mktsegment AS eval_type, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 3 END AS difficulty,
+           CASE WHEN c_custkey % 8 IN (0, 1, 2) THEN 'VIDEO' WHEN c_custkey % 8 = 3 THEN 'CONSENT_CMP' WHEN c_custkey % 8 = 4 THEN 'GAM_ADSERVING' END AS first_family,
+           CASE WHEN c_custkey % 8 IN (1, 4) THEN 'SEARCH_DISCOVER' END AS second_family
+    FROM {customer}
+    """,
+)
+REPLICATES = 100
+STEPS = " + ".join(f"(place >= {step!r}::DOUBLE)::INT" for step in V.poisson_steps())
+
+
+@query("eval_set_metrics", "WITH " + SQL_LABELS + f""",
+    gold AS (SELECT case_id, eval_type, difficulty::VARCHAR AS difficulty, list_filter([first_family, second_family], lambda x: x IS NOT NULL) AS accepted FROM {{gold_cases}}),
+    answer AS (SELECT case_id, bool_or(list_contains(accepted, family) AND rank = 1) AS one, bool_or(list_contains(accepted, family) AND rank <= 3) AS three, bool_or(status = 'LEADING') AS asserts,
+        bool_or(status = 'LEADING' AND NOT list_contains(accepted, family)) AS wrong FROM final JOIN gold ON case_id = incident_id GROUP BY 1),
+    judged_cases AS (SELECT case_id, eval_type, difficulty, len(accepted) > 0 AS settled, coalesce(one, false) AS one, coalesce(three, false) AS three, NOT coalesce(asserts, false) AS silent, coalesce(wrong, false) AS wrong
+        FROM gold LEFT JOIN answer USING (case_id)),
+    drawn AS (SELECT *, H60(concat(':', case_id, ':', r))::DOUBLE / {float(1 << 60)!r}::DOUBLE AS place FROM judged_cases, generate_series(0, {REPLICATES}) AS g(r)),
+    weighed AS (SELECT *, CASE WHEN r = 0 THEN 1 ELSE {STEPS} END AS w FROM drawn),
+    sliced AS (SELECT 'all' AS slice, '' AS slice_value, * FROM weighed UNION ALL SELECT 'eval_type', coalesce(eval_type, ''), * FROM weighed UNION ALL SELECT 'difficulty', coalesce(difficulty, ''), * FROM weighed),
+    rates AS (SELECT slice, slice_value, r, 'top1_accuracy' AS metric, sum(w) FILTER (settled AND one) AS hits, sum(w) FILTER (settled) AS n FROM sliced GROUP BY 1, 2, 3
+      UNION ALL SELECT slice, slice_value, r, 'top3_recall', sum(w) FILTER (settled AND three), sum(w) FILTER (settled) FROM sliced GROUP BY 1, 2, 3
+      UNION ALL SELECT slice, slice_value, r, 'false_cause_rate', sum(w) FILTER (wrong), sum(w) FROM sliced GROUP BY 1, 2, 3
+      UNION ALL SELECT slice, slice_value, r, 'unresolved_precision', sum(w) FILTER (silent AND NOT settled), sum(w) FILTER (silent) FROM sliced GROUP BY 1, 2, 3
+      UNION ALL SELECT slice, slice_value, r, 'unresolved_recall', sum(w) FILTER (silent AND NOT settled), sum(w) FILTER (NOT settled) FROM sliced GROUP BY 1, 2, 3),
+    shares AS (SELECT *, CASE WHEN n > 0 THEN coalesce(hits, 0) / n END AS rate FROM rates)
+    SELECT slice, slice_value, metric, B(coalesce(max(n) FILTER (r = 0), 0)) AS cases, round(max(rate) FILTER (r = 0), 6) AS value, round(quantile_cont(rate, 0.025) FILTER (r > 0), 6) AS lower,
+        round(quantile_cont(rate, 0.975) FILTER (r > 0), 6) AS upper FROM shares GROUP BY 1, 2, 3""")
+def eval_set_metrics(t):
+    families = F.array_compact(F.array("first_family", "second_family"))
+    cases = t.gold_cases.select("case_id", families.alias("accepted"), "eval_type", "difficulty")
+    answers = ranked(t).select(C("incident_id").alias("case_id"), "family", "rank", "status")
+    found = V.eval_set_metrics(cases, answers, ["eval_type", "difficulty"], REPLICATES)
+    return found.select("slice", "slice_value", "metric", "cases", *[r6(c).alias(c) for c in ("value", "lower", "upper")])
