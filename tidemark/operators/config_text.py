@@ -207,25 +207,39 @@ def rule_regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), quoted, F.when(ends, "$").otherwise(""))
 
 
+def literal_prefix(pattern: Column) -> Column:
+    """What every path that the pattern matches begins with."""
+    return F.substring_index(F.regexp_replace(pattern, r"\$$", ""), "*", 1)
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Whether each URL may be fetched.  URLs: url_id, file_id, user_agent, path.
 
-    The longest matching agent decides, then its longest matching rule, then allow; all three are
-    one maximum over (agent length, specificity, allow), so a URL never holds its rules together.
+    The longest matching agent decides, then its longest matching rule, then allow.  Rules are an index by the literal text
+    they begin with: a path is cut to the lengths that occur among the rules of its agent and meets only rules that begin
+    with one of these cuts; only those with a wildcard or an end anchor are then held against their pattern.  So a URL meets
+    the rules of its own branch, not all of its file.  A null path matches no rule, a null user agent only the agent ``*``.
     """
-    prepared = rules.select(
-        "file_id", "agent", F.when(F.col("agent") == "*", 0).otherwise(F.length("agent")).alias("agent_len"),
-        (F.col("directive") == "allow").alias("allow"), rule_regex(F.col("pattern")).alias("regex"), U.octet_length_of_rule(F.col("pattern")).alias("octets"),
-    )
-    asked = urls.withColumn("_path", U.norm_octets(F.col("path"))).withColumn("_agent", F.lower("user_agent"))
-    pairs = asked.join(prepared, "file_id").where((F.col("agent") == "*") | F.contains("_agent", F.col("agent")))
-    hit = F.coalesce(F.rlike("_path", F.col("regex")), F.lit(False))
-    best = pairs.groupBy("url_id").agg(
-        F.max(F.struct("agent_len", F.when(hit, F.col("octets")).otherwise(-1).alias("octets"), (F.when(hit, F.col("allow")).otherwise(True)).alias("allow"))).alias("best")
-    )
-    return urls.join(best, "url_id", "left").select(
-        *urls.columns, F.when(F.coalesce("best.octets", F.lit(-1)) < 0, F.lit(True)).otherwise(F.col("best.allow")).alias("allowed")
-    )
+    asked = urls.select(
+        "url_id", "file_id", U.norm_octets(F.col("path")).alias("_path"), F.coalesce(F.lower("user_agent"), F.lit("")).alias("_agent")
+    )
+    agents = rules.select("file_id", "agent", F.when(F.col("agent") == "*", 0).otherwise(F.length("agent")).alias("_len")).distinct()
+    mine = asked.select("file_id", "_agent").distinct().join(agents, "file_id").where((F.col("agent") == "*") | F.contains("_agent", F.col("agent")))
+    longest = F.max("_len").over(Window.partitionBy("file_id", "_agent"))
+    chosen = mine.withColumn("_longest", longest).where("_len = _longest").select("file_id", "_agent", "agent")
+    pattern = F.col("pattern")
+    index = rules.where(pattern.isNotNull()).select(
+        "file_id", "agent", literal_prefix(pattern).alias("_prefix"), (F.contains(pattern, F.lit("*")) | F.endswith(pattern, F.lit("$"))).alias("_wild"),
+        rule_regex(pattern).alias("_regex"), F.struct(U.octet_length_of_rule(pattern).alias("octets"), (F.col("directive") == "allow").alias("allow")).alias("_verdict"),
+    )
+    # At most one length for each character of the longest rule.
+    lengths = index.groupBy("file_id", "agent").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    placed = asked.join(chosen, ["file_id", "_agent"]).join(lengths, ["file_id", "agent"])
+    cuts = placed.select("url_id", "file_id", "agent", "_path", F.explode("_lengths").alias("_n")).where(F.col("_n") <= F.length("_path"))
+    cuts = cuts.withColumn("_prefix", F.substring(F.col("_path"), F.lit(1), F.col("_n"))).drop("_n")
+    hits = cuts.join(index, ["file_id", "agent", "_prefix"]).where(~F.col("_wild") | F.rlike("_path", F.col("_regex")))
+    best = hits.groupBy("url_id").agg(F.max("_verdict").alias("best"))
+    return urls.join(best, "url_id", "left").select(*urls.columns, F.coalesce("best.allow", F.lit(True)).alias("allowed"))
 
 
 def config_outcome(fetches: DataFrame) -> DataFrame:

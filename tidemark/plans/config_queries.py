@@ -61,6 +61,16 @@ def robots_allowed(t):
     return K.robots_allowed(t.robots_urls, K.robots_rules(t.robots_files)).select("url_id", "allowed")
 
 
+@query("site_robots", """WITH mine AS (SELECT u.*, CASE WHEN coalesce(user_agent, '') LIKE 'GoodBot%' AND EXISTS (SELECT 1 FROM {site_rules} r WHERE r.file_id = u.file_id AND r.agent = 'goodbot') THEN 'goodbot' ELSE '*' END AS agent FROM {site_urls} u),
+    hit AS (SELECT url_id, directive = 'allow' AS allow, length(replace(replace(pattern, '*', ''), '$', '')) AS octets FROM mine m JOIN {site_rules} r USING (file_id, agent)
+        WHERE CASE WHEN pattern LIKE '%$' THEN starts_with(path, '/p/') AND ends_with(path, replace(substr(pattern, 5), '$', '')) AND length(path) >= length(pattern) - 2
+            WHEN contains(pattern, '*') THEN starts_with(path, split_part(pattern, '*', 1)) AND contains(substr(path, length(split_part(pattern, '*', 1)) + 1), '.html') ELSE starts_with(path, pattern) END),
+    best AS (SELECT url_id, max({'octets': octets, 'allow': allow}) AS best FROM hit GROUP BY 1)
+    SELECT B(u.url_id) AS url_id, coalesce(b.best.allow, true) AS allowed FROM {site_urls} u LEFT JOIN best b USING (url_id)""")
+def site_robots(t):
+    return K.robots_allowed(t.site_urls, K.robots_rules(t.site_files)).select("url_id", "allowed")
+
+
 @query("config_outcome", """SELECT B(fetch_id) AS fetch_id, CASE WHEN error_code = 'PUBLIC_CONFIG_TOO_LARGE' THEN 'TOO_LARGE' WHEN error_code = 'PUBLIC_CONFIG_SECURITY_ERROR' THEN 'BLOCKED' WHEN error_code IS NOT NULL THEN 'UNREACHABLE'
     WHEN http_status = 200 THEN NULL WHEN http_status IN (404, 410) THEN 'MISSING' WHEN config_type = 'ROBOTS_TXT' AND http_status = 500 THEN 'UNREACHABLE' ELSE 'HTTP_ERROR' END AS outcome FROM {fetches}""")
 def config_outcome(t):

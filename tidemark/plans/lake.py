@@ -591,6 +591,36 @@ frame(
     FROM {orders}
     """,
 )
+# One rule per supplier and part, and from these the files as text: prefixes, exceptions, wildcards and end anchors for two agents.
+frame(
+    "site_rules",
+    """
+    SELECT DISTINCT l_suppkey AS file_id, CASE WHEN l_partkey % 5 = 0 THEN 'goodbot' ELSE '*' END AS agent, CASE WHEN l_partkey % 4 = 1 THEN 'allow' ELSE 'disallow' END AS directive,
+           CASE l_partkey % 4 WHEN 0 THEN concat('/p/', CAST(CAST(floor(l_partkey / 10) AS BIGINT) AS STRING)) WHEN 1 THEN concat('/p/', CAST(l_partkey AS STRING))
+             WHEN 2 THEN concat('/p/*/', CAST(l_partkey % 50 AS STRING), '$') ELSE concat('/q/', CAST(l_partkey % 30 AS STRING), '*.html') END AS pattern
+    FROM {lineitem}
+    """,
+)
+frame(
+    "site_files",
+    """
+    SELECT file_id, string_agg(block, chr(10) ORDER BY agent) AS text FROM (SELECT file_id, agent, concat('User-agent: ', agent, chr(10), string_agg(concat(directive, ': ', pattern), chr(10) ORDER BY pattern, directive)) AS block
+        FROM {site_rules} GROUP BY file_id, agent) AS blocks GROUP BY file_id
+    """,
+    spark_sql="""
+    SELECT file_id, listagg(block, '\n') WITHIN GROUP (ORDER BY agent) AS text FROM (SELECT file_id, agent, concat('User-agent: ', agent, chr(10), listagg(concat(directive, ': ', pattern), '\n') WITHIN GROUP (ORDER BY concat(directive, ': ', pattern))) AS block
+        FROM {site_rules} GROUP BY file_id, agent) AS blocks GROUP BY file_id
+    """,
+)
+frame(
+    "site_urls",
+    """
+    SELECT o_orderkey AS url_id, o_custkey % 110 + 1 AS file_id, CASE o_orderkey % 4 WHEN 0 THEN 'GoodBot/2.1' WHEN 1 THEN NULL ELSE 'other' END AS user_agent,
+           CASE o_orderkey % 5 WHEN 0 THEN concat('/p/', CAST(o_orderkey % 2100 AS STRING)) WHEN 1 THEN concat('/p/', CAST(o_orderkey % 2100 AS STRING), '/', CAST(o_custkey % 50 AS STRING))
+             WHEN 2 THEN concat('/q/', CAST(o_custkey % 30 AS STRING), '/a.html?x=1') WHEN 3 THEN concat('/q/', CAST(o_custkey % 30 AS STRING), '/a.htm') ELSE '/' END AS path
+    FROM {orders}
+    """,
+)
 frame(
     "fetches",
     """
