@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.catalogs import DRILLDOWNS_PER_CONNECTION_DAY, DRILLDOWNS_PER_INVESTIGATION
 from tidemark.functions.shape import big, r6, ts_text
 from tidemark.operators import events as E
 from tidemark.operators import health as H
@@ -128,7 +129,14 @@ def open_incident_count(t):
     return H.open_incident_count(t.incidents)
 
 
-@query("drilldown_budget")
+@query("drilldown_budget", f"""WITH RECURSIVE once AS (SELECT connection_id, investigation_id, request_key, min(seq) AS seq, arg_min(day, seq) AS day FROM {{requests}} GROUP BY 1, 2, 3),
+    n AS (SELECT *, row_number() OVER (PARTITION BY connection_id ORDER BY seq) AS rn FROM once),
+    f AS (SELECT n.*, 'ACCEPTED' AS verdict, [{{'i': investigation_id, 'd': day}}] AS used FROM n WHERE rn = 1
+      UNION ALL SELECT connection_id, investigation_id, request_key, seq, day, rn, verdict, CASE WHEN verdict = 'ACCEPTED' THEN list_append(used, {{'i': investigation_id, 'd': day}}) ELSE used END
+        FROM (SELECT n.*, f.used, CASE WHEN len(list_filter(f.used, lambda x: x.i = n.investigation_id)) >= {DRILLDOWNS_PER_INVESTIGATION} THEN 'INVESTIGATION_BUDGET_EXCEEDED'
+            WHEN len(list_filter(f.used, lambda x: x.d = n.day)) >= {DRILLDOWNS_PER_CONNECTION_DAY} THEN 'DAILY_BUDGET_EXCEEDED' ELSE 'ACCEPTED' END AS verdict
+          FROM f JOIN n ON n.connection_id = f.connection_id AND n.rn = f.rn + 1))
+    SELECT connection_id, investigation_id, request_key, seq, day, verdict FROM f""")
 def drilldown_budget(t):
     return H.drilldown_budget(t.requests)
 
