@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.shape import r6
 from tidemark.operators import evidence as V
+from tidemark.operators.sessions import span_sessions
 from tidemark.plans.lake import frame
 from tidemark.plans.registry import query
 from tidemark.plans.scalar_queries import SQL_AD, SQL_MEDIA, SQL_VAST, sql_family, sql_host, sql_key, sql_mask, sql_path
@@ -102,6 +103,18 @@ def cls_sessions(t):
     return V.cls_sessions(t.shifts, ["user_id", "day"]).select("user_id", C("day").cast("string").alias("day"), r6("cls").alias("cls"))
 
 
+@query("shift_sessions", """WITH RECURSIVE s AS (SELECT user_id, day, t, sum(v) AS v, row_number() OVER (PARTITION BY user_id, day ORDER BY t) AS rn FROM {shifts} GROUP BY user_id, day, t),
+    w AS (SELECT user_id, day, rn, t AS start, t, v, v AS total FROM s WHERE rn = 1
+      UNION ALL SELECT s.user_id, s.day, s.rn, CASE WHEN w.total > 0 AND s.t - w.t < 1000 AND s.t - w.start < 5000 THEN w.start ELSE s.t END, s.t, s.v,
+        CASE WHEN w.total > 0 AND s.t - w.t < 1000 AND s.t - w.start < 5000 THEN w.total + s.v ELSE s.v END
+      FROM w JOIN s ON s.user_id = w.user_id AND s.day = w.day AND s.rn = w.rn + 1)
+    SELECT B(user_id) AS user_id, strftime(day, '%Y-%m-%d') AS day, start::DOUBLE AS start_ms, max(t)::DOUBLE AS end_ms, B(count(*)) AS instants, round(sum(v), 6) AS total FROM w GROUP BY user_id, day, start""")
+def shift_sessions(t):
+    return span_sessions(t.shifts, ["user_id", "day"], V.GAP_MS, V.SPAN_MS).select(
+        "user_id", C("day").cast("string").alias("day"), C("start").alias("start_ms"), C("end").alias("end_ms"), "instants", r6("total").alias("total")
+    )
+
+
 @query("interaction_proxy", """SELECT B(user_id) AS user_id, strftime(day, '%Y-%m-%d') AS day, max(CASE WHEN interaction_id > 0 THEN duration_ms END) AS inp_ms FROM {shifts} GROUP BY ALL""")
 def interaction_proxy(t):
     return V.interaction_proxy(t.shifts, ["user_id", "day"]).select("user_id", C("day").cast("string").alias("day"), "inp_ms")
