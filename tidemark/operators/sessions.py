@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
+from tidemark.operators.ordered import carry_previous, running_count
+
 
 def following(t: np.ndarray, v: np.ndarray, gap: float, span: float) -> np.ndarray:
     """Index of the session start after each event, were that event a start; the length where the block holds none."""
@@ -38,13 +40,24 @@ def span_sessions(events: DataFrame, keys: list[str], gap: float, span: float, b
     """Sessions of each key: start, end, instants, total.  Events: keys (never null), t, v (not negative, never null).
 
     A session goes on while the gap to its last event is below ``gap``, the distance to its start below ``span`` and its sum above
-    zero.  Events of one instant count as one.  A task holds the instants of one block or, of a key, what can come first in each
+    zero.  Events of one instant count as one, and what no gap parts is looked at by itself.  A task holds the instants of one block or, of a key, what can come first in each
     of its blocks; ``block`` is at least ``span``.
     """
     if block < span:
         raise ValueError("a block is at least a span")
     instants = events.groupBy(*keys, F.col("t").cast("double").alias("t")).agg(F.sum(F.col("v").cast("double")).alias("v"))
-    instants = instants.withColumn("_block", F.floor(F.col("t") / F.lit(block)).cast("bigint"))
+    place = F.floor(F.col("t") / F.lit(block)).cast("bigint")
+    lagged = carry_previous(instants, keys, ["t"], "t", "_before", place)
+    head = F.col("_before").isNull() | (F.col("t") - F.col("_before") >= gap)
+    chained = running_count(lagged, keys, ["t"], head, "_chain", place).drop("_before")
+    chains = chained.groupBy(*keys, "_chain").agg(
+        F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("instants"), F.sum("v").alias("total"), F.min_by("v", "t").alias("_first")
+    )
+    # A chain without a gap is one session where it is shorter than a span and starts above zero; only the others are cut.
+    whole = (F.col("end") - F.col("start") < span) & ((F.col("_first") > 0) | (F.col("instants") == 1))
+    simple = chains.where(whole).drop("_first")
+    own, keys = list(keys), [*keys, "_chain"]
+    instants = chained.join(chains.where(~whole).select(*keys), keys).withColumn("_block", place)
     scope = [instants.schema[c] for c in [*keys, "_block"]]
     names = [*keys, "_block"]
 
@@ -100,4 +113,6 @@ def span_sessions(events: DataFrame, keys: list[str], gap: float, span: float, b
     parts = instants.join(entries, names).groupBy(*names).applyInPandas(cut, StructType([
         StructField("start", DoubleType()), StructField("end", DoubleType()), StructField("instants", LongType()), StructField("total", DoubleType()), *scope[:-1],
     ]))
-    return parts.groupBy(*keys, "start").agg(F.max("end").alias("end"), F.sum("instants").alias("instants"), F.sum("total").alias("total"))
+    joined = parts.groupBy(*keys, "start").agg(F.max("end").alias("end"), F.sum("instants").alias("instants"), F.sum("total").alias("total"))
+    shown = [*own, "start", "end", "instants", "total"]
+    return simple.select(*shown).unionByName(joined.select(*shown))
