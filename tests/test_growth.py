@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.operators import lineage as L
+from tidemark.operators import similarity as S
 
 START = datetime(2024, 1, 1)
 
@@ -23,3 +24,13 @@ def test_net_change_looks_up_snapshots_not_changes(spark, monkeypatch):
     assert met == [4] and changes.count() == 50
     assert sorted(int(r.stable_key) for r in found) == [m for m in range(50) if m % 4 == 2]
     assert {(r.lkg_id, r.change, r.events, r.last_changed_at) for r in found} == {(1, "ADDED", 1, START + timedelta(days=2))}
+
+
+def test_similarity_sends_on_the_best_not_the_pairs(spark):
+    """Ninety incidents share one label, 4,005 pairs; each sends on two neighbours from each block it meets."""
+    rows = [(i, "all") for i in range(90)] + [(i, f"own{i // 3}") for i in range(90)]
+    labels = S.weighted_labels(spark.createDataFrame(rows, "incident_id BIGINT, label STRING"))
+    found = S.neighbours(S.indexed(labels, 0.01), labels, 2, 0.01, label_rows=30).collect()
+    assert len(found) <= 90 * 2 * 5
+    best = {i: {j for j in range(90) if j // 3 == i // 3 and j != i} for i in range(90)}
+    assert all(best[i] <= {r.to_incident_id for r in found if r.from_incident_id == i} for i in range(90))
