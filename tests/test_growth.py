@@ -1,10 +1,13 @@
 """Work and what it holds grow no faster than rows: each case counts what an operator sends on, or holds it against a plain version."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import investigate as I
 from tidemark.operators import lineage as L
+from tidemark.operators import ordered as O
 from tidemark.operators import similarity as S
 
 START = datetime(2024, 1, 1)
@@ -34,3 +37,37 @@ def test_similarity_sends_on_the_best_not_the_pairs(spark):
     assert len(found) <= 90 * 2 * 5
     best = {i: {j for j in range(90) if j // 3 == i // 3 and j != i} for i in range(90)}
     assert all(best[i] <= {r.to_incident_id for r in found if r.from_incident_id == i} for i in range(90))
+
+
+def test_united_spans_hold_the_same_instants(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        begin = rng.randint(0, 900)
+        rows.append((rng.choice([None, 1, 2, 3]), START + timedelta(days=begin), START + timedelta(days=begin + rng.randint(-2, 9))))
+    rows += [(1, START + timedelta(days=880), None), (4, None, START), (5, START, None), (5, START + timedelta(days=3), START + timedelta(days=4))]
+    got = O.merged_spans(spark.createDataFrame(rows, "k INT, a TIMESTAMP, z TIMESTAMP"), ["k"], "a", "z").collect()
+    holds = lambda spans, day: {k for k, a, z in spans if a is not None and a <= day and (z is None or z > day)}
+    for day in range(0, 1000):
+        for hour in (0, 12):
+            assert holds(rows, at := START + timedelta(days=day, hours=hour)) == holds(got, at)
+            assert sum(a <= at and (z is None or z > at) for k, a, z in got) == len(holds(got, at))
+    assert len(got) < len(rows)
+
+
+def test_packs_refused_by_byte_sums_are_not_unrolled(spark, monkeypatch):
+    """Thirty incidents over 400 notes of 1,000 bytes: refused by sums, so no note is looked up for them; the small one is whole."""
+    day = lambda n: START + timedelta(days=n)
+    incidents = spark.createDataFrame(
+        [(i, 1, "a", day(0), day(3)) for i in range(30)] + [(30, 2, "b", day(0), day(3)), (31, 1, "before", day(-9), day(-5))],
+        "incident_id INT, site INT, incident_text STRING, window_start TIMESTAMP, window_end TIMESTAMP",
+    )
+    fact = "site INT, at TIMESTAMP, id BIGINT, entry STRING"
+    none = spark.createDataFrame([], fact)
+    notes = spark.createDataFrame([(1, day(1), i, "x" * 1000) for i in range(400)] + [(2, day(1), 1, "short"), (1, day(9), 500, None)], fact)
+    asked, head = [], I.window_head
+    monkeypatch.setattr(I, "window_head", lambda spans, *rest: asked.append(spans.select("incident_id").distinct().count()) or head(spans, *rest))
+    packs = {r["incident_id"]: r for r in I.evidence_pack(incidents, none, none, none, none, notes).collect()}
+    assert asked == [2] and len(packs) == 32
+    assert all(packs[i]["content"] is None for i in range(30))
+    assert '"short"' in packs[30]["content"] and '"human_reported_notes":[]' in packs[31]["content"]
