@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import intervals as V
 from tidemark.operators import investigate as I
 from tidemark.operators import lineage as L
 from tidemark.operators import ordered as O
@@ -71,3 +72,16 @@ def test_packs_refused_by_byte_sums_are_not_unrolled(spark, monkeypatch):
     assert asked == [2] and len(packs) == 32
     assert all(packs[i]["content"] is None for i in range(30))
     assert '"short"' in packs[30]["content"] and '"human_reported_notes":[]' in packs[31]["content"]
+
+
+def test_a_bin_of_many_pairs_is_cut_on_both_sides(spark):
+    """Two hundred points and two hundred open spans share one bin; no part of it compares more than a few of each."""
+    points = spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias("l"), F.lit(START).cast("timestamp").alias("at"))
+    spans = spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias("r"), F.lit(START).cast("timestamp").alias("a"), F.lit(None).cast("timestamp").alias("z"))
+    short = V._climbing(V._placed(points, "at", "at", "a"), "a", False, None).where(F.col("_level") == V.TOP)
+    long = V._binned(V._placed(spans, "a", "z", "b"), "b", F.array("_b_level"))
+    met = V._met(short, long, ["k", "_level", "_bin"], 80)
+    assert met.count() == 200 * 200 and met.select("l", "r").distinct().count() == 200 * 200
+    shown = met._jdf.queryExecution().analyzed().toString()
+    assert "_part_rows" in shown and "_part_cols" in shown
+    assert V.instant_join(points, spans, ["k"], "at", ("a", "z"), 80).count() == 200 * 200
