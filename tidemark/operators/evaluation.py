@@ -22,10 +22,19 @@ def poisson_steps() -> list[float]:
     return steps
 
 
+def poisson_place(seed: Column) -> Column:
+    """A hash as a number from 0 to 1."""
+    return hash60(seed) / F.lit(float(1 << 60))
+
+
+def poisson_steps_passed(place: Column) -> Column:
+    """Poisson(1) by inversion; reads its argument once a step."""
+    return sum((F.when(place >= F.lit(step), 1).otherwise(0) for step in poisson_steps()[1:]), F.when(place >= F.lit(poisson_steps()[0]), 1).otherwise(0))
+
+
 def poisson_weight(seed: Column) -> Column:
     """Poisson(1) by inversion of a hash: the same seed always weighs the same, on any machine and in any order."""
-    place = hash60(seed) / F.lit(float(1 << 60))
-    return sum((F.when(place >= F.lit(step), 1).otherwise(0) for step in poisson_steps()[1:]), F.when(place >= F.lit(poisson_steps()[0]), 1).otherwise(0))
+    return poisson_steps_passed(poisson_place(seed))
 
 
 def case_outcomes(cases: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -65,16 +74,21 @@ def eval_set_metrics(cases: DataFrame, ranked: DataFrame, slices: list[str], rep
 
     Returns slice, slice_value, metric, cases (the denominator), value, lower, upper.  Replicate 0 weighs every case once and
     gives the value.  The others weigh a case by a hash of its id and the replicate: they are made and summed in the pass that
-    reads the cases, so no replicate is ever a copy of the data, and what is shuffled is one row of sums per slice value and
-    replicate.  A metric without cases has no value; replicates without cases do not count for the interval.
+    reads the cases, so no replicate is ever a copy of the data, and what is shuffled is one weight per combination of slice
+    values and outcomes, and replicate.  A metric without cases has no value; replicates without cases do not count for the interval.
     """
     names = [F.struct(F.lit("all").alias("slice"), F.lit("").alias("slice_value"))]
     names += [F.struct(F.lit(c).alias("slice"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("slice_value")) for c in slices]
     outcomes = case_outcomes(cases, ranked)
     sides = [f"{m}_{part}" for m in METRICS for part in ("of", "in")]
     drawn = outcomes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    weight = F.when(F.col("replicate") == 0, 1).otherwise(poisson_weight(F.concat_ws(":", F.lit(seed), F.col("case_id").cast("string"), F.col("replicate").cast("string"))))
-    weighed = drawn.withColumn("_w", weight).where("_w > 0").select("replicate", "_w", *sides, F.inline(F.array(*names)))
+    # A column of its own: the fourteen comparisons of a weight read one hash instead of making it again.
+    place = poisson_place(F.concat_ws(":", F.lit(seed), F.col("case_id").cast("string"), F.col("replicate").cast("string")))
+    placed = drawn.withColumn("_place", F.when(F.col("replicate") > 0, place))
+    weight = F.when(F.col("replicate") == 0, 1).otherwise(poisson_steps_passed(F.col("_place")))
+    # Cases alike in slices and outcomes are weighed together, so slices and metrics multiply sums, not cases.
+    alike = placed.select("replicate", *slices, *sides, weight.alias("_w")).groupBy("replicate", *slices, *sides).agg(F.sum("_w").alias("_w"))
+    weighed = alike.select("replicate", "_w", *sides, F.inline(F.array(*names)))
     sums = weighed.groupBy("slice", "slice_value", "replicate").agg(*[F.sum(F.col("_w") * F.col(s)).alias(s) for s in sides])
     each = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_of").alias("of"), F.col(f"{m}_in").alias("of_in")) for m in METRICS]))
     rates = sums.select("slice", "slice_value", "replicate", each).withColumn("rate", F.when(F.col("of_in") > 0, F.col("of") / F.col("of_in")))
