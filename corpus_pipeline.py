@@ -33,7 +33,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest row of every group of texts with five-word similarity of 0.8; op7's contract is not this stage's."""
+    """Keeps the smallest row of every group of texts with five-word similarity of 0.8, found by SimHash and MinHash bands; op7's contract is not this stage's."""
     return neardup.one_of_each_group(spark, docs)
 
 

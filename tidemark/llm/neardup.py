@@ -1,9 +1,9 @@
-"""Near-duplicate texts by exact Jaccard similarity of word shingles.
+"""Near-duplicate texts by SimHash, widened by MinHash, with an exact check of Jaccard similarity of word shingles.
 
-SimHash cannot be the candidate stage here: texts at similarity 0.8 lie up to 17 of 64 bits apart in the test tables, and no choice
-of blocks serves such a radius. Texts are reduced to distinct shingle sets, whose MinHash bands join them into candidate groups: two
-sets of similarity 0.8 share a band of six minima with probability 1 - (1 - 0.8^6)^48, all but one pair in two million. A group's sets are
-cut into slices of a bounded size, every pair of slices is one comparison by exact intersection counts, and a comparison returns
+Texts are reduced to distinct shingle sets. Sets whose SimHash fingerprints lie within two bits, found by op7's bit-sliced
+comparison, are candidates. Texts at similarity 0.8 lie up to 17 of 64 bits apart in the test tables, and no choice of blocks
+serves such a radius, so MinHash bands add candidates: two sets of similarity 0.8 share a band of six minima with probability
+1 - (1 - 0.8^6)^48, all but one pair in two million. Candidates of both kinds are joined into groups. A group's sets are cut into slices of a bounded size, every pair of slices is one comparison by exact intersection counts, and a comparison returns
 only a spanning forest of its links.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import components, in_batches, shielded, sorted_groups, stored
 from tidemark.llm.licenses import _Hashes
 from tidemark.llm.licenses import shingles as hashed_shingles
+from tidemark.llm.simhash import fingerprint_of
+from tidemark.llm.simhash import links as fingerprint_links
 
 WIDTH = 5
 BANDS = 48
@@ -60,6 +62,15 @@ def band_keys(found: np.ndarray) -> list[int]:
     return (keys ^ (keys >> np.uint64(31))).view(np.int64).tolist()
 
 
+def fingerprint_candidates(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """(node, low): edges that join all sets (node, fp) whose fingerprints lie within the radius of op7."""
+    named = stored(spark, sets.groupBy("fp").agg(F.min("node").alias("low")), "set-fingerprints")
+    alike = sets.join(named, "fp").select("node", "low")
+    near = fingerprint_links(spark, named.select("fp"))
+    left, right = (named.select(F.col("fp").alias(side), F.col("low").alias(node)) for side, node in (("a", "node"), ("b", "low")))
+    return alike.unionByName(near.join(left, "a").join(right, "b").select("node", "low")).where("node <> low")
+
+
 def close_pairs(left: list[np.ndarray], right: list[np.ndarray], same: bool) -> list[tuple[int, int]]:
     """Spanning forest of the pairs with similarity of at least 0.8, as places in left + right (in left if same)."""
     sets = left if same else left + right
@@ -140,16 +151,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, slice_shingles: int
         for frame in frames:
             sets = [shingle_set(t, hashes) for t in frame.pop("text")]
             names = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
-            yield frame.assign(node=names, n=[len(s) for s in sets], bands=[band_keys(s) for s in sets])
+            prints = np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64)
+            yield frame.assign(node=names, n=[len(s) for s in sets], fp=prints, bands=[band_keys(s) for s in sets])
 
     columns = keyed.select("_row", F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marked = in_batches(columns, mark, "_row string, doc_id long, node string, n long, bands array<long>")
+    marked = in_batches(columns, mark, "_row string, doc_id long, node string, n long, fp long, bands array<long>")
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
-    distinct = stored(spark, marked.groupBy("node").agg(F.min(key).alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-sets")
+    same = [F.first(c).alias(c) for c in ("n", "fp", "bands")]
+    distinct = stored(spark, marked.groupBy("node").agg(F.min(key).alias("key"), *same), "shingle-sets")
     spread = distinct.select("node", F.explode("bands").alias("band"))
     # A minimum combined before the shuffle and a join that splits a common band, where a window would hold the band in one task.
     low = spread.join(spread.groupBy("band").agg(F.min("node").alias("low")), "band").where("node <> low")
-    groups = components(spark, low.select("node", "low"), "node", "low")
+    edges = low.select("node", "low").unionByName(fingerprint_candidates(spark, distinct.where("n > 0").select("node", "fp")))
+    groups = components(spark, edges, "node", "low")
     members = distinct.join(groups, "node").select("root", "node", "n", F.col("key._row").alias("_row"))
     members = stored(spark, members, "candidate-sets")
     texts = keyed.select("_row", F.col("text").cast("string").alias("text"))

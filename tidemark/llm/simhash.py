@@ -26,6 +26,16 @@ BLOCK_BITS = 16
 BLOCKS = 4
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = ones * 2 > len(hashes)
+    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """64-bit SimHash of the word shingles of a text, repeats included; 0 without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
@@ -37,12 +47,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(s, HASH_SEED) for s in shingles), dtype=np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = ones * 2 > len(hashes)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+    return fingerprint_of(hashes)
 
 
 def with_fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
