@@ -15,6 +15,7 @@ from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.functions.shape import either
 from tidemark.operators.ordered import DAY, latest_before
+from tidemark.session import written
 
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 # --- fixed values: seller file directives and bounds ------------------------------------------
@@ -24,7 +25,8 @@ AGENT = r"^(?:[-A-Za-z_]+|\*)$"
 
 
 def _strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    """Without white space around; the value is a line or a part of one, so it holds no line break."""
+    return F.btrim(value, F.lit(" \t\n\x0b\f\r"))
 
 
 def file_lines(files: DataFrame) -> DataFrame:
@@ -142,7 +144,7 @@ def robots_lines(files: DataFrame) -> DataFrame:
     lines = file_lines(files)
     has = F.contains("line", F.lit(":"))
     field = F.lower(_strip(F.substring_index("line", ":", 1)))
-    value = _strip(F.regexp_replace("line", r"^[^:]*:", ""))
+    value = _strip(F.substr("line", F.locate(":", "line") + 1))
     df = lines.select("file_id", "line_no", has.alias("has"), F.when(has, field).alias("field"), F.when(has, value).alias("value"))
     agent = (F.col("field") == "user-agent") & F.col("value").rlike(AGENT)
     rule = F.col("field").isin("allow", "disallow")
@@ -168,7 +170,9 @@ def robots_lines(files: DataFrame) -> DataFrame:
 
 def robots_rules(files: DataFrame) -> DataFrame:
     """Merged rules: (file_id, agent, directive, pattern); an agent without rules keeps one bare row."""
-    lines = robots_lines(files)
+    lines = robots_lines(files).where((F.col("kind") == "AGENT") | F.col("pattern").isNotNull())
+    # Four branches read the lines; written once, the files are not parsed again in each.
+    lines = written(lines.select("file_id", "group_no", "kind", "field", "value", "pattern"), "robots-lines")
     agents = lines.where(F.col("kind") == "AGENT").select("file_id", "group_no", F.lower("value").alias("agent")).distinct()
     rules = lines.where(F.col("pattern").isNotNull()).select("file_id", "group_no", F.col("field").alias("directive"), "pattern")
     joined = agents.join(rules, ["file_id", "group_no"], "left").select("file_id", "agent", "directive", "pattern").distinct()
@@ -220,6 +224,7 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     with one of these cuts; only those with a wildcard or an end anchor are then held against their pattern.  So a URL meets
     the rules of its own branch, not all of its file.  A null path matches no rule, a null user agent only the agent ``*``.
     """
+    rules = written(rules, "robots-rules")
     asked = urls.select(
         "url_id", "file_id", U.norm_octets(F.col("path")).alias("_path"), F.coalesce(F.lower("user_agent"), F.lit("")).alias("_agent")
     )
