@@ -56,3 +56,28 @@ def test_lines_of_the_table(spark):
 def test_short_template_is_refused():
     with pytest.raises(ValueError):
         licenses.Matcher({"x": "only four words here"})
+
+
+def test_bands_are_slid_only_where_their_shingle_occurs(monkeypatch):
+    slid, least = [], licenses._least
+    monkeypatch.setattr(licenses, "_least", lambda values, width: slid.append(width) or least(values, width))
+    every = licenses.all_templates()
+    matcher = licenses.Matcher(every)
+    assert matcher.scan("a long text that speaks of software, of files and of their copies, without a license " * 20) == [] and not slid
+    # Templates cut, changed and run together: every band of every size finds no more than that.
+    mul, add = licenses._bands(licenses.BANDS)
+    for name, other in zip(every, reversed(every)):
+        body = every[name].split()
+        for step in (7, 40, 10_000):
+            text = " ".join(("edited" if k % step == 6 else w) for k, w in enumerate(body[len(body) // 12 :] + every[other].split()))
+            found = licenses.shingles(licenses.words(text), matcher.hashes)
+            want = set()
+            for size, group in matcher.by_size.items():
+                for band in range(licenses.BANDS):
+                    runs = least(found * mul[band] + add[band], min(size, len(found)))
+                    for title, wanted, keys in group:
+                        starts = (i for i in (runs == keys[band]).nonzero()[0] if len(wanted & set(found[i : i + size].tolist())) >= 0.8 * len(wanted))
+                        want.update((title, int(i)) for i in starts)
+            got = matcher.scan(text)
+            assert {t for t, _ in want} == {t for t, *_ in got}
+            assert all(any(t == title and a <= i < b for t, a, b, _ in got) for title, i in want)

@@ -3,7 +3,9 @@
 For each template length, every run of as many words is a window (step one). A window's MinHash is a sliding
 minimum over its five-word shingles. Bands of one row retrieve a template whenever any band agrees: windows that
 hold four fifths of a template's shingles agree on at least one of sixteen bands with probability above
-1 - (1/3)^16. Retrieved windows are verified by exact shingle containment and touching ones are merged.
+1 - (1/3)^16. A band is a permutation of the shingles, so its minimum is a template's only in windows that hold the
+one shingle from which the template has it: bands whose shingle a text lacks are not slid over that text.
+Retrieved windows are verified by exact shingle containment and touching ones are merged.
 """
 
 from __future__ import annotations
@@ -117,36 +119,41 @@ class Matcher:
     def __init__(self, templates: dict[str, str], bands: int = BANDS, containment: float = CONTAINMENT):
         self.hashes, self.bands, self.containment = _Hashes(), bands, containment
         self.by_size: dict[int, list[tuple[str, set[int], np.ndarray]]] = {}
+        # Per shingle the (window size, band) in which some template has its minimum there.
+        self.sources: dict[int, set[tuple[int, int]]] = {}
         mul, add = _bands(bands)
         for name, text in templates.items():
             found = shingles(words(text), self.hashes)
             if not len(found):
                 raise ValueError(f"the template {name} has fewer than {SHINGLE} words")
-            keys = (found[None, :] * mul[:, None] + add[:, None]).min(axis=1)
+            permuted = found[None, :] * mul[:, None] + add[:, None]
+            keys = permuted.min(axis=1)
+            for band, source in enumerate(found[permuted.argmin(axis=1)].tolist()):
+                self.sources.setdefault(source, set()).add((len(found), band))
             self.by_size.setdefault(len(found), []).append((name, set(found.tolist()), keys))
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(template, first word, word after the last, best containment), merged per template."""
         tokens = words(text or "")
         all_shingles = shingles(tokens, self.hashes)
+        values = all_shingles.tolist()
         hits: dict[tuple[str, int], set[int]] = {}
         mul, add = _bands(self.bands)
-        for band in range(self.bands):
-            permuted = all_shingles * mul[band] + add[band]
-            for size, group in self.by_size.items():
-                # A text shorter than the template is one window if it can hold the share at all.
-                if not len(permuted) or len(permuted) < self.containment * min(len(w) for _, w, _ in group):
-                    continue
-                least = _least(permuted, min(size, len(permuted)))
-                for name, _, keys in group:
-                    found = np.flatnonzero(least == keys[band])
-                    if len(found):
-                        hits.setdefault((name, size), set()).update(found.tolist())
+        for size, band in set().union(*(self.sources[v] for v in self.sources.keys() & values)):
+            group = self.by_size[size]
+            # A text shorter than the template is one window if it can hold the share at all.
+            if len(values) < self.containment * min(len(w) for _, w, _ in group):
+                continue
+            least = _least(all_shingles * mul[band] + add[band], min(size, len(values)))
+            for name, _, keys in group:
+                found = np.flatnonzero(least == keys[band])
+                if len(found):
+                    hits.setdefault((name, size), set()).update(found.tolist())
         out = []
         for (name, size), places in hits.items():
             wanted = next(s for n, s, _ in self.by_size[size] if n == name)
             spans: list[list] = []
-            held = _Held(all_shingles.tolist(), wanted, min(size, len(all_shingles)))
+            held = _Held(values, wanted, min(size, len(values)))
             for i in sorted(places):
                 share = held.at(i) / len(wanted)
                 if share < self.containment:
