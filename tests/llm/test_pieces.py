@@ -60,3 +60,20 @@ def test_planes_of_narrow_and_wide_ids():
         back = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.of(ids, np.array([400, 601])).to_bytes())
         assert back.all_ids().tolist() == ids.tolist() == back.access(np.arange(1001)).tolist()
         assert back.doc_lengths.tolist() == [400, 601]
+
+
+def test_case_and_marks_are_put_together(monkeypatch):
+    encode = wavelet.PieceEncoder(tokenizer_path())
+    assert encode.folds and not wavelet.PieceEncoder(tokenizer_path("byte_bpe_50k.json")).by_piece
+    asked, plain = [], encode.plain
+    monkeypatch.setattr(encode, "plain", lambda texts: asked.extend(texts) or plain(texts))
+    cores = ["reverberate", "Reverberate", "REVERBERATE", "ŁÓDŹ", "łódź", "Ⱥb", "ⱥb", "Straße", "ǅ", "ǆ"]
+    pieces = [c + m for c in cores for m in ("", ".", ",!!", ";:", "*)", "$%&#?")]
+    texts = [" ".join(pieces), "", "\t\n\r", pieces[1], "x " * 700]
+    got = encode(texts * 300)
+    assert [x.tolist() for x in got] == plain(texts) * 300
+    # every spelling of a word comes from one call for its letters
+    assert sum(t.lower().split().count("reverberate") for t in asked) == 1 and "reverberate." not in " ".join(asked).lower().split()
+    encode.folds = False
+    encode.known.clear()
+    assert [x.tolist() for x in encode(texts)] == plain(texts) and encode([]) == []

@@ -9,14 +9,15 @@ be written to and read from any store that Spark reaches.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from functools import cache
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,9 @@ MAGIC = b"TWM1"
 END_ID = 1
 SHARD_TOKENS = 1 << 19
 HEAD = struct.Struct("<4sIQQI")
+MARKS = ".,;:!?#$%&*)"
+# Latin letters and the marks behind them, on a line of their own; other lines give two empty strings.
+PLAIN = re.compile(rf"(?m)^(?:([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([{MARKS}]*)|.*)$")
 
 
 class WaveletMatrix:
@@ -141,11 +145,14 @@ class PieceEncoder:
 
     Where the tokenizer drops white space and never looks across it, a text's ids are its pieces' ids in a row. New pieces are
     encoded many at a time: those of Latin letters, with marks behind them or without, are told apart by the last tokens of
-    words, where the model marks these; between others stands a special token that none of them holds. Any other tokenizer
-    encodes whole texts.
+    words, where the model marks these; between others stands a special token that none of them holds. Where the tokenizer
+    ignores case and cuts marks off, such a piece is put together from its letters in lower case and its marks, each a piece
+    itself. Any other tokenizer encodes whole texts.
     """
 
     PIECES = 1_200_000
+    # Texts whose pieces are looked up together, each different one once.
+    TEXTS = 1024
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -164,6 +171,9 @@ class PieceEncoder:
         probe = ("ab", "Ab", "ab.", "ab?!#", "\u00c9t\u00e9", "\u00e9.,", "a", "aBaB*)")
         if len(self.last) and any(self.last[ids].sum() != self._words(p) for p, ids in zip(probe, self.plain(list(probe)))):
             self.last = self.last[:0]
+        parts = (("Ab", "."), ("ABC", "?!#"), ("\u00c9T\u00c9", ".,"), ("aBaB", "*)"), ("\u0141\u00f3D\u0179", ";:"), ("tHe", ""), ("I", "$%&"))
+        plain_names = all("<" in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.folds = plain_names and all(self.plain([a + b])[0] == sum(self.plain([a.lower(), b]), []) for a, b in parts)
 
     def _drops_blanks(self) -> bool:
         probe = ("a b", "A, b's <|x|> 12", "é e\u0301 ß", "…a -- b")
@@ -177,7 +187,7 @@ class PieceEncoder:
     @staticmethod
     def _words(piece: str) -> int:
         """Words of a piece where that is plain: Latin letters (1), or those and marks behind them (2); otherwise 0."""
-        core = piece.rstrip(".,;:!?#$%&*)")
+        core = piece.rstrip(MARKS)
         if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
             return 1 if len(core) == len(piece) else 2
         return 0
@@ -197,11 +207,26 @@ class PieceEncoder:
         return unclear
 
     def _learn(self, pieces: list[str]) -> None:
+        if not self.folds:
+            return self._learn_apart(pieces)
+        parts = PLAIN.findall("\n".join(pieces))
+        forms = [(p, core, marks) for p, (core, marks) in zip(pieces, parts) if core]
+        cores = "\n".join(core for _, core, _ in forms).lower().split("\n") if forms else []
+        known = self.known
+        others = {p for p, (core, _) in zip(pieces, parts) if not core}.union(marks for _, _, marks in forms)
+        self._learn_apart(list(others.difference(known)), list(set(cores).difference(known)))
+        known.update((p, known[core] + known[marks]) for (p, _, marks), core in zip(forms, cores))
+
+    def _learn_apart(self, pieces: list[str], words: list[str] | None = None) -> None:
+        """Learn pieces from texts made of many; the second list holds those of letters alone."""
+        words = words or []
         mark, number = self.mark
         if len(self.last):
             counts = [self._words(p) for p in pieces]
-            unclear = self._learn_words([p for p, n in zip(pieces, counts) if n], [n for n in counts if n])
+            unclear = self._learn_words([p for p, n in zip(pieces, counts) if n] + words, [n for n in counts if n] + [1] * len(words))
             pieces = [p for p, n in zip(pieces, counts) if not n] + unclear
+        else:
+            pieces = pieces + words
         alone = [p for p in pieces if "<" in p]
         self.known.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(alone, self.plain(alone)))
         rest = [p for p in pieces if "<" not in p]
@@ -214,16 +239,30 @@ class PieceEncoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_piece:
             return [np.array(ids, np.uint32) for ids in self.plain(texts)]
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        return [ids for a in range(0, len(texts), self.TEXTS) for ids in self._joined(texts[a : a + self.TEXTS])]
+
+    def _joined(self, texts: list[str]) -> list[np.ndarray]:
+        blanks = pa.array(texts, pa.large_string())
+        for blank in "\t\n\r":
+            blanks = pc.replace_substring(blanks, blank, " ")
+        split = pc.split_pattern(blanks, " ")
+        coded = split.flatten().dictionary_encode()
+        pieces, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.known) > self.PIECES:
             self.known.clear()
         self.known[""] = b""
-        found = [list(map(self.known.get, pieces)) for pieces in split]
-        gaps = [k for k, ids in enumerate(found) if None in ids]
-        self._learn(list(set().union(*(compress(split[k], map(is_, found[k], repeat(None))) for k in gaps))))
+        found = list(map(self.known.get, pieces))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        self._learn([pieces[k] for k in gaps])
         for k in gaps:
-            found[k] = map(self.known.__getitem__, split[k])
-        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
+            found[k] = self.known[pieces[k]]
+        sizes, data = np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), "<u4")
+        # Each place takes its piece's ids: from where they start in data, moved to where the place starts in the result.
+        lengths = sizes[which]
+        ends = np.append(0, np.cumsum(lengths))
+        ids = data[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], lengths) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 @cache
@@ -250,8 +289,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, shar
 
         for frame in frames:
             texts, doc_ids = frame["text"].fillna("").tolist(), frame["doc_id"].tolist()
-            for a in range(0, len(texts), 128):
-                for doc_id, found in zip(doc_ids[a : a + 128], encode(texts[a : a + 128])):
+            for a in range(0, len(texts), encode.TEXTS):
+                for doc_id, found in zip(doc_ids[a : a + encode.TEXTS], encode(texts[a : a + encode.TEXTS])):
                     found = np.append(found, np.uint32(END_ID))
                     ids.append(found)
                     names.append(None if pd.isna(doc_id) else int(doc_id))
