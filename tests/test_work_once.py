@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls as U
+from tidemark.operators import chain as N
 from tidemark.operators import config_text as K
 from tidemark.operators import lineage as L
 from tidemark.operators.sessions import span_sessions
@@ -55,3 +56,14 @@ def test_more_rows_make_more_tasks(spark):
     keys = spark.range(0, 4_000_000, numPartitions=8).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
     tasks = keys.groupBy("k").count().select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_episodes_work_their_candidates_out_once(spark, capsys):
+    found = spark.range(6).selectExpr(
+        "0 AS section", "1L AS site", "timestamp_seconds(id) AS scheduled_for", "2L AS template_id", "3L AS scenario_id", "id % 2 AS url_id", "id AS run_id",
+        "'JS_ERROR_STARTED' AS code", "'e' AS subject", "CASE WHEN id < 2 THEN 'UPSERT' WHEN id < 3 THEN 'RESOLVE' WHEN id < 4 THEN 'SUPPORT' ELSE 'RECORD' END AS action",
+        "'MEDIUM' AS severity", "timestamp_seconds(id) AS detected_at", "1L AS affected_count", "1L AS valid_count", "1L AS runs",
+    )
+    episodes = N.event_episodes(found)
+    assert "Range" not in plan(episodes, capsys)
+    assert sorted((r.url_id, r.episode, r.supporting_count, r.status) for r in episodes.collect()) == [(0, 1, 1, "RESOLVED"), (1, 1, 2, "ACTIVE")]

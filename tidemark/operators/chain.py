@@ -14,6 +14,7 @@ from tidemark.catalogs import EVENT_RULES, VALID_RUN_STATUSES
 from tidemark.functions.shape import either
 from tidemark.operators import events as E
 from tidemark.operators import lineage as L
+from tidemark.session import written
 
 WINDOW = ["site", "scheduled_for"]
 SCOPE = [*WINDOW, "template_id", "scenario_id"]
@@ -170,5 +171,6 @@ def event_episodes(candidates: DataFrame) -> DataFrame:
         *CONDITION[:-1], F.coalesce("url_id", F.lit(-1)).alias("url_id"), F.col("detected_at").alias("at"),
         F.coalesce("run_id", F.unix_seconds("scheduled_for")).alias("run_id"), "action", "severity", "affected_count", "valid_count", "runs",
     )
-    episodes = E.condition_lifecycle(actions, CONDITION, ["at", "run_id"], weight="runs")
+    # The machine reads its rows twice; written once, the candidates and all that leads to them are not worked out again.
+    episodes = E.condition_lifecycle(written(actions, "chain-actions"), CONDITION, ["at", "run_id"], weight="runs")
     return episodes.withColumn("url_id", F.when(F.col("url_id") >= 0, F.col("url_id")))
