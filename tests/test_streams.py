@@ -1,5 +1,8 @@
 """Streams fed in several steps end where the batch form of the same rows ends."""
 
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from tidemark import catalogs
@@ -88,3 +91,41 @@ def test_rows_of_a_key_are_ordered_without_a_frame(monkeypatch):
     assert in_order(holes, [*order, "no"])["no"] == want_holes
     monkeypatch.setattr(pd.DataFrame, "sort_values", None)
     assert in_order(rows, order)["no"] == want
+
+
+def test_conditions_share_a_few_states(spark, tmp_path, monkeypatch):
+    """Three thousand keys, one null and some above 2^53, in sixteen states: in three steps they end as a plain fold does."""
+    monkeypatch.setattr(J, "CONDITION_GROUPS", 16)
+    rng, n, start = random.Random(2), 3_000, datetime(2026, 1, 1)
+    rows = [
+        (rng.choice([None, *range(n)]), start + timedelta(hours=rng.randint(0, 59)), k // 2, k % 2, rng.choice(["UPSERT", "SUPPORT", "RESOLVE"]), rng.choice(["LOW", "HIGH"]), rng.randint(0, 9), rng.randint(0, 9))
+        for k in range(3 * n)
+    ]
+    rows += [(None, start + timedelta(hours=h), h, 0, "UPSERT" if h % 3 else "RESOLVE", "LOW", h, h) for h in range(60)]
+    rows += [(2**60 + k, start, k, 0, "UPSERT", "LOW", 1, 2) for k in range(3)]
+    schema = "condition_key BIGINT, at TIMESTAMP, run_id BIGINT, seq INT, action STRING, severity STRING, affected_count BIGINT, valid_count BIGINT"
+    source, folder = f"{tmp_path}/actions", f"{tmp_path}/sink"
+    for step in range(3):
+        part = [r for r in rows if (r[1] - start) // timedelta(hours=20) == step]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        R.run_available(J.stream_conditions(R.read_stream(spark, schema, source)), "conditions", "update", folder=folder)
+    assert spark.read.format("statestore").load(f"{folder}/checkpoint").count() == 16
+    expected = set()
+    for key in {r[0] for r in rows}:
+        now, count, last = None, 0, None
+        for _, at, run, _, action, severity, hit, seen in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:4]):
+            again, last = run == last, run
+            if now and again:
+                continue
+            if not now and action == "UPSERT":
+                count, now = count + 1, (at, None, severity, 1, hit, seen)
+            elif now and action == "RESOLVE":
+                expected.add((key, count, now[0], at, *now[2:]))
+                now = None
+            elif now:
+                now = (now[0], None, min(now[2], severity), now[3] + 1, max(now[4], hit), max(now[5], seen))
+        if now:
+            expected.add((key, count, *now))
+    found = R.latest_version(R.sink(spark, folder, J.CONDITION_OUT), ["condition_key", "episode"])
+    got = [tuple(r) for r in found.select(*[c.split()[0] for c in J.CONDITION_OUT.split(", ")]).collect()]
+    assert len(got) == len(expected) and set(got) == expected
