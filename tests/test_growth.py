@@ -85,3 +85,38 @@ def test_a_bin_of_many_pairs_is_cut_on_both_sides(spark):
     shown = met._jdf.queryExecution().analyzed().toString()
     assert "_part_rows" in shown and "_part_cols" in shown
     assert V.instant_join(points, spans, ["k"], "at", ("a", "z"), 80).count() == 200 * 200
+
+
+def test_points_stay_one_row_where_few_rules_are_cut(spark, monkeypatch):
+    """Six hundred points meet forty rules of many lengths: no point climbs a level, and the pairs are all there."""
+    rng, met, join = random.Random(8), [], V._met
+    monkeypatch.setattr(V, "_met", lambda short, long, *rest, **more: met.append((short.count(), long.count())) or join(short, long, *rest, **more))
+    at = lambda hours: START + timedelta(hours=hours)
+    points = [(rng.choice([1, 2]), i, at(rng.randint(0, 9_000))) for i in range(600)]
+    rules = [(rng.choice([1, 2]), i, at(b := rng.randint(-9_000, 9_000)), None if i % 5 == 0 else at(b + rng.choice([0, 5, 300, 3_000, 9_000, -2]))) for i in range(40)]
+    a, b = spark.createDataFrame(points, "k INT, l INT, at TIMESTAMP"), spark.createDataFrame(rules, "k INT, r INT, since TIMESTAMP, until TIMESTAMP")
+    got = V.instant_join(a, b, ["k"], "at", ("since", "until")).select("l", "r").collect()
+    inside = lambda p, r: p[0] == r[0] and r[2] <= p[2] and (r[3] is None or r[3] >= p[2])
+    assert sorted(map(tuple, got)) == sorted((p[1], r[1]) for p in points for r in rules if inside(p, r))
+    assert met[0][0] == 600 and met[0][1] <= 2 * 640
+    # Windows of six hours: one or two bins each, on one level.
+    del met[:]
+    windows = a.withColumn("end", F.expr("at + INTERVAL 6 HOURS"))
+    got = V.interval_join(windows, b, ["k"], ("at", "end"), ("since", "until")).select("l", "r").collect()
+    meets = lambda p, r: p[0] == r[0] and r[2] <= p[2] + timedelta(hours=6) and (r[3] is None or r[3] >= max(r[2], p[2]))
+    assert sorted(map(tuple, got)) == sorted((p[1], r[1]) for p in points for r in rules if meets(p, r))
+    assert met[0][0] <= 1_200 and met[1] == (0, 0)
+
+
+def test_short_rules_are_not_cut_into_wide_bins(spark):
+    """Rules of an hour beside a few open ones keep their own levels; either way, and without points, the pairs are the same."""
+    rng = random.Random(9)
+    at = lambda hours: START + timedelta(hours=hours)
+    points = [(i, at(rng.randint(0, 40_000))) for i in range(60)]
+    for lengths in ([1], [1, 1, 1, None], [None], [20_000, None]):
+        rules = [(i, at(b := rng.randint(-500, 40_000)), None if (n := rng.choice(lengths)) is None else at(b + n)) for i in range(300)]
+        b = spark.createDataFrame(rules, "r INT, since TIMESTAMP, until TIMESTAMP")
+        for held in (points, []):
+            a = spark.createDataFrame(held, "l INT, at TIMESTAMP")
+            got = V.instant_join(a, b, [], "at", ("since", "until")).select("l", "r").collect()
+            assert sorted(map(tuple, got)) == sorted((p[0], r[0]) for p in held for r in rules if r[1] <= p[1] and (r[2] is None or r[2] >= p[1]))
