@@ -16,6 +16,7 @@ from tidemark.operators import baseline as B
 from tidemark.operators import events as E
 from tidemark.operators import intervals as I
 from tidemark.operators import machines as M
+from tidemark.operators.external import external_relevance
 from tidemark.operators.ordered import time_bucket
 
 START = datetime(2024, 2, 1)
@@ -171,3 +172,18 @@ def test_interval_join_of_many_meets_little_more_than_it_returns(spark):
     high = I._met(I._climbing(pb, "b", True, None), I._binned(pa, "a", F.array("_a_level")), scope, None).count()
     out = I.interval_join(a, b, ["k"], ("s", "e"), ("s2", "e2")).count()
     assert out > 10_000 and low + high < 12 * out
+
+
+def test_open_incidents_are_compared_in_many_tasks(spark):
+    """Few bytes make many pairs: blocks of both sides are dealt over all shuffle partitions, not merged by size."""
+    incidents = spark.range(30).selectExpr("id AS incident_id", "1 AS site", "'A' AS product", "array('x') AS segments", "timestamp'2024-01-01' AS onset", "CAST(NULL AS TIMESTAMP) AS ended")
+    events = spark.range(40).selectExpr(
+        "id AS event_id", "element_at(array('A', 'B', NULL), CAST(id % 3 + 1 AS INT)) AS event_product", "array('x', 'z', 'y') AS scope", "timestamp'2024-02-01' AS started_at", "CAST(NULL AS TIMESTAMP) AS event_ended"
+    )
+    found = external_relevance(incidents, events)
+    assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 4
+    rows = found.collect()
+    assert len(rows) == 30 * 40
+    assert {(r.external_event_id % 3, r.relation, r.reason) for r in rows} == {
+        (0, "NOT_MATCHING_SEGMENT", "same product; scope not held by the incident: y,z"), (1, "CONTEXT", "overlaps in time; concerns B"), (2, "CONTEXT", "overlaps in time; the event names no product")
+    }
