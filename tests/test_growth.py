@@ -120,3 +120,16 @@ def test_short_rules_are_not_cut_into_wide_bins(spark):
             a = spark.createDataFrame(held, "l INT, at TIMESTAMP")
             got = V.instant_join(a, b, [], "at", ("since", "until")).select("l", "r").collect()
             assert sorted(map(tuple, got)) == sorted((p[0], r[0]) for p in held for r in rules if r[1] <= p[1] and (r[2] is None or r[2] >= p[1]))
+
+
+def test_only_snapshots_of_a_window_are_compared(spark):
+    """Ninety snapshots, four of them inside the window of an incident: the members of these alone are held against those before."""
+    snapshots = spark.createDataFrame([(i, i % 2, START + timedelta(days=i), "F" if i in (40, 41) else "O") for i in range(90)], "snapshot_id BIGINT, url_id BIGINT, at TIMESTAMP, status STRING")
+    members = spark.createDataFrame([(s, m) for s in range(90) for m in range(20) if (s // 2 + m) % 3], "snapshot_id BIGINT, member BIGINT")
+    incidents = spark.createDataFrame([(1, 0, START + timedelta(days=48, hours=5)), (2, 1, START)], "incident_id BIGINT, url_id BIGINT, onset TIMESTAMP")
+    healthy = F.col("status") == "F"
+    moments = L.since_lkg(incidents, snapshots, "url_id", healthy)
+    changes, every = (L.member_changes(snapshots, {"SCRIPT": members}, "url_id", w) for w in (moments, None))
+    assert {r.snapshot_id for r in changes.collect()} == {42, 44, 46, 48} and every.count() > changes.count()
+    got, whole = (L.changed_since_lkg(incidents, snapshots, c, "url_id", healthy, m).collect() for c, m in ((changes, moments), (every, None)))
+    assert sorted(map(str, got)) == sorted(map(str, whole)) and got
